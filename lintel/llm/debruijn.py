@@ -29,7 +29,7 @@ from lintel.llm.textkernel import U, Words, chunks, runs
 
 K = 13
 CHUNK = 4 << 20
-LOW = 256
+LOW = 64  # parts are a multiple; the edge's six low bits are its part's
 
 
 def _planes(x: np.ndarray, n: int) -> bytes:
@@ -58,7 +58,7 @@ def _edges(k: int, parts: int):
                 part = (edges % U(parts)).astype(np.uint32)
                 order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                edges, at = edges[order] >> U(8), at[order].astype(np.uint32)
+                edges, at = edges[order] >> U(6), at[order].astype(np.uint32)
                 ids = np.asarray(piece.column("doc_id").to_numpy(), np.int64)
                 ids = _planes(np.diff(ids, prepend=0), 8)
                 sizes = _planes(words.n_words.astype(np.uint32), 4)
@@ -171,10 +171,9 @@ def _verify(k: int):
 
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """Verified spans (doc_id, start, edges, owner, owner_start): words start .. start + edges + k - 2 repeat the owner's."""
-    arrow_rows(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     repeats = repeated_edges(docs, k).groupBy("doc_id").agg(F.collect_list(F.struct("place", "owner", "owner_place")).alias("repeats"))
-    spans = docs.where("text IS NOT NULL").join(repeats, "doc_id").mapInArrow(
+    spans = docs.join(repeats, "doc_id").mapInArrow(
         _paths(k), "doc_id long, start int, edges int, owner long, owner_start int, digest binary"
     )
     return spans
@@ -182,9 +181,10 @@ def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
 
 def verified(docs: DataFrame, spans: DataFrame, k: int = K) -> DataFrame:
     """The spans whose words the owner has at the coordinates they name."""
+    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     key = ["owner", "owner_start", "edges", "digest"]
     asked = spans.select(*key).distinct().groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("owner_start", "edges", "digest")).alias("asked"))
-    held = docs.select("doc_id", "text").join(asked, "doc_id").mapInArrow(_verify(k), "owner long, owner_start int, edges int, digest binary")
+    held = docs.join(asked, "doc_id").mapInArrow(_verify(k), "owner long, owner_start int, edges int, digest binary")
     return spans.join(held.distinct(), key, "left_semi")
 
 
@@ -229,9 +229,11 @@ def remove_repeats(docs: DataFrame, k: int = K, with_text: bool = True) -> DataF
     of docs that are named like a result column are replaced by it.
     """
     arrow_rows(docs.sparkSession)
+    # The three joins on doc_id deal the same texts, so Spark shuffles them once.
     spans = verified(docs, repeated_spans(docs, k), k)
     spans = spans.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_list(F.struct("start", "edges")).alias("_spans"))
     others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_text", "kept_sha256")]
-    joined = docs.join(spans, F.col("doc_id") == F.col("_span_doc"), "left")
+    joined = docs.where("doc_id IS NOT NULL").join(spans, F.col("doc_id") == F.col("_span_doc"), "left")
+    joined = joined.select(*others, "text", "_spans").union(docs.where("doc_id IS NULL").select(*others, "text", F.lit(None).alias("_spans")))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return joined.select(*others, "text", "_spans").mapInArrow(_kept(k, with_text, [(c, None) for c in others]), f"{schema}, {_KEPT}")
+    return joined.mapInArrow(_kept(k, with_text, [(c, None) for c in others]), f"{schema}, {_KEPT}")

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lintel.llm import debruijn
+from lintel.llm import dartminhash, debruijn
 from lintel.llm.common import table
 
 
 def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = debruijn.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    kept = debruijn.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_dart_near_dedup": op5_dart_near_dedup,
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
 
