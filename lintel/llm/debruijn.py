@@ -74,7 +74,7 @@ def _edges(k: int, parts: int):
     return deal
 
 
-_REPEATS = "doc_id long, place int, owner long, owner_place int"
+_REPEATS = "doc_id long, repeats binary"
 
 
 def _owners(table: pa.Table) -> pa.Table:
@@ -106,11 +106,19 @@ def _owners(table: pa.Table) -> pa.Table:
         docs, places, owner, owner_place = docs[other], places[other], owner[other], owner_place[other]
     else:
         owner, owner_place = docs, places
-    return pa.table({"doc_id": docs, "place": places, "owner": owner, "owner_place": owner_place})
+    order = np.lexsort((places, docs))
+    docs, places, owner, owner_place = docs[order], places[order], owner[order], owner_place[order]
+    first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
+    cuts = np.append(first, len(docs)).tolist()
+    blobs = [owner[a:b].tobytes() + places[a:b].tobytes() + owner_place[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return pa.table({"doc_id": docs[first], "repeats": pa.array(blobs, pa.binary())})
 
 
 def repeated_edges(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, place, owner, owner_place) for each window that an earlier document holds too."""
+    """(doc_id, repeats): the windows that an earlier document holds too, a row for each document and part.
+
+    repeats holds their owners (64 bits), places and owners' places (32 bits each).
+    """
     spark = docs.sparkSession
     parts = LOW * -(-width(spark) // LOW)
     dealt = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(
@@ -119,6 +127,11 @@ def repeated_edges(docs: DataFrame, k: int = K) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(_owners, _REPEATS)
 
 
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(raw) // 16
+    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int32, n, 8 * n), np.frombuffer(raw, np.int32, n, 12 * n)
+
+
 def _spans(place: np.ndarray, owner: np.ndarray, owner_place: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Maximal runs (start, edges, owner, owner's start) that go on in the document and in the owner."""
     order = np.argsort(place)
@@ -140,9 +153,9 @@ def _paths(k: int):
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text, r in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("repeats"), strict=True):
-                flat = r.values.flatten()
+                owner, place, owner_place = (np.concatenate(x) for x in zip(*map(_unpacked, r.as_py()), strict=True))
                 words = text.as_buffer().to_pybytes().split()
-                for start, n, owner, begin in _spans(*(x.to_numpy() for x in flat)):
+                for start, n, owner, begin in _spans(place, owner, owner_place):
                     out.append((doc_id, start, n, owner, begin, _digest(words[start : start + n + k - 1])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
@@ -172,7 +185,7 @@ def _verify(k: int):
 def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
     """Verified spans (doc_id, start, edges, owner, owner_start): words start .. start + edges + k - 2 repeat the owner's."""
     docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    repeats = repeated_edges(docs, k).groupBy("doc_id").agg(F.collect_list(F.struct("place", "owner", "owner_place")).alias("repeats"))
+    repeats = repeated_edges(docs, k).groupBy("doc_id").agg(F.collect_list("repeats").alias("repeats"))
     spans = docs.join(repeats, "doc_id").mapInArrow(
         _paths(k), "doc_id long, start int, edges int, owner long, owner_start int, digest binary"
     )
