@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lintel.llm import dartminhash, debruijn
+from lintel.llm import dartminhash, debruijn, packing, sentencepieces
 from lintel.llm.common import table
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = debruijn.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -18,6 +28,8 @@ def op5_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_sentencepiece": op3_sentencepiece,
     "op5_dart_near_dedup": op5_dart_near_dedup,
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
