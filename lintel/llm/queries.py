@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lintel.llm import dartminhash, debruijn, packing, sentencepieces
-from lintel.llm.common import table
+from lintel.llm import dartminhash, debruijn, langid, packing, rff_quality, sentencepieces
+from lintel.llm.common import fold, table
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +19,21 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(fold("doc_id", 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op9_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = rff_quality.document_statistics(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels")
+    model = rff_quality.fit(seen, labels.where(fold("doc_id", 5) != 0))
+    found = rff_quality.score(seen, model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = debruijn.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -30,6 +46,8 @@ def op5_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_sentencepiece": op3_sentencepiece,
+    "op6_language_id": op6_language_id,
+    "op9_rff_quality": op9_rff_quality,
     "op5_dart_near_dedup": op5_dart_near_dedup,
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
