@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 ARROW_ROWS = "1000"
+ARROW_BYTES = str(4 << 20)
 WHITE = "\\x20\\x09-\\x0D"
 
 
@@ -39,6 +40,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def arrow_rows(spark: SparkSession, rows: str = ARROW_ROWS) -> None:
     """Whole documents travel in Arrow batches; keep a batch to a few MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
