@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import dartminhash, debruijn, langid, packing, rff_quality, sentencepieces
+from lintel.llm import crosspolytope, dartminhash, debruijn, langid, mcd, packing, rff_quality, sentencepieces
 from lintel.llm.common import fold, table
 
 
@@ -14,6 +14,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mcd.judge(table(spark, sf_dir, "documents"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
@@ -26,6 +30,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_rff_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = rff_quality.document_statistics(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels")
@@ -45,10 +53,12 @@ def op5_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_mcd_outliers": op2_mcd_outliers,
     "op3_sentencepiece": op3_sentencepiece,
+    "op5_dart_near_dedup": op5_dart_near_dedup,
     "op6_language_id": op6_language_id,
+    "op8_cross_polytope": op8_cross_polytope,
     "op9_rff_quality": op9_rff_quality,
-    "op5_dart_near_dedup": op5_dart_near_dedup,
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
 
