@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from lintel.llm.common import arrow_rows
 
 MARK = "▁"
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 800_000
 
 
 class Encoder:
