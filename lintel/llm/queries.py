@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import crosspolytope, dartminhash, debruijn, langid, mcd, packing, rff_quality, sentencepieces
+from lintel.llm import crosspolytope, dartminhash, debruijn, gru_lm, langid, mcd, packing, rff_quality, sentencepieces
 from lintel.llm.common import fold, table
 
 
@@ -47,6 +47,10 @@ def op10_debruijn_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score(table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 7) == 2))
+
+
 def op5_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_mcd_outliers": op2_mcd_outliers,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_gru_lm": op4_gru_lm,
     "op5_dart_near_dedup": op5_dart_near_dedup,
     "op6_language_id": op6_language_id,
     "op8_cross_polytope": op8_cross_polytope,
