@@ -8,10 +8,8 @@ the signature, and two documents agree in a coordinate with a probability equal
 to their weighted Jaccard similarity. The plane is cut in regions of doubling
 size, so only regions that the document touches are thrown.
 
-Bands of coordinates are joined. Rows of a bucket meet its leader, not each
-other, and what is left in other components after that meets the rest of the
-bucket, so a group of near copies costs a multiple of its size. Every link is
-verified on whole texts.
+Bands of coordinates are joined in graph.classes_of, where a group of near copies
+costs a multiple of its size. Every link is verified on whole texts.
 """
 
 from __future__ import annotations
@@ -26,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.common import arrow_rows, staged
-from lintel.llm.graph import components
+from lintel.llm.graph import classes_of
 from lintel.llm.textkernel import U, Words, chunks, mix, runs
 
 SHINGLE = 5
@@ -206,30 +204,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     sketch = staged(known.mapInArrow(_sketch(k, bands, rows), "doc_id long, digest binary, keys array<long>"), "sketch")
     texts = staged(sketch.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
     keys = texts.select("id", F.explode("keys").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    members = staged(keys.join(buckets.select("key", "leader"), "key"), "members")
-    pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
-    links = staged(verified(known, pairs, k, threshold), "links")
-    found = components(links)
-
-    # What still stands in another component than most of its bucket meets all of the bucket.
-    held = staged(
-        members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component")), "held"
-    )
-    mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    mixed = held.join(mixed, "key", "left_semi")
-    main = mixed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = mixed.join(main, "key").where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
-    pairs = (
-        rest.join(mixed.select("key", F.col("id").alias("b"), F.col("component").alias("of_b")), "key")
-        .where("of_a <> of_b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .join(links, ["a", "b"], "left_anti")
-    )
-    late = staged(verified(known, staged(pairs, "pairs"), k, threshold), "late")
-    if not late.isEmpty():
-        found = components(links.union(late))
+    found = classes_of(keys, lambda pairs: verified(known, pairs, k, threshold))
     copies = sketch.select("doc_id", "digest").join(texts.select("digest", "id"), "digest").select("doc_id", "id").distinct()
     classes = copies.join(found, copies["id"] == found["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("class_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select(

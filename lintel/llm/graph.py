@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +42,35 @@ def components(edges: DataFrame) -> DataFrame:
             break
         mark = tuple(seen)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def classes_of(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, component) over the links that verify(pairs) confirms among rows (id, key) of equal key.
+
+    Rows of a bucket meet its least id, not each other. What then still stands in
+    another component than most of its bucket meets the whole bucket, so no link
+    between two components of a bucket is missed, and a bucket whose rows are all
+    alike costs its size. pairs and links are (a, b) with a > b.
+    """
+    buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
+    members = staged(keys.join(buckets.select("key", "leader"), "key"), "members")
+    pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    links = staged(verify(pairs), "links")
+    found = components(links)
+    held = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    mixed = staged(held.join(mixed, "key", "left_semi"), "mixed")
+    main = mixed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    rest = mixed.join(main, "key").where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
+    pairs = (
+        rest.join(mixed.select("key", F.col("id").alias("b"), F.col("component").alias("of_b")), "key")
+        .where("of_a <> of_b")
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        .distinct()
+        .join(links, ["a", "b"], "left_anti")
+    )
+    pairs = staged(pairs, "pairs")
+    if pairs.isEmpty():
+        return found
+    late = staged(verify(pairs), "late")
+    return found if late.isEmpty() else components(links.union(late))

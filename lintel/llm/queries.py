@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import crosspolytope, dartminhash, debruijn, gru_lm, langid, mcd, packing, rff_quality, sentencepieces
+from lintel.llm import crosspolytope, dartminhash, debruijn, gru_lm, langid, line_dedup, mcd, packing, rff_quality, sentencepieces
 from lintel.llm.common import fold, table
 
 
@@ -30,6 +30,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.coalesce("kept_text", F.lit("")), 256)
+    return kept.select("doc_id", "n_lines", "n_removed", digest.alias("kept_sha256"))
+
+
 def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crosspolytope.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -62,6 +68,7 @@ QUERIES = {
     "op4_gru_lm": op4_gru_lm,
     "op5_dart_near_dedup": op5_dart_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_line_dedup": op7_line_dedup,
     "op8_cross_polytope": op8_cross_polytope,
     "op9_rff_quality": op9_rff_quality,
     "op10_debruijn_dedup": op10_debruijn_dedup,
