@@ -15,7 +15,7 @@ costs a multiple of its size. Every link is verified on whole texts.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -177,14 +177,35 @@ def _similar(threshold: float):
     return check
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose weighted Jaccard similarity reaches the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = staged(texts.mapInArrow(_sets(k), "id long, items binary, counts binary"), "sets")
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("items").alias(f"items_{side}"), F.col("counts").alias(f"counts_{side}")), side)
-    return pairs.mapInArrow(_similar(threshold), "a long, b long")
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, element) rows of the sets, an element for each time that an item counts."""
+    for batch in batches:
+        for id_, items, counts in zip(batch.column("id").to_pylist(), batch.column("items"), batch.column("counts"), strict=True):
+            n = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            element = mix(np.repeat(np.frombuffer(items.as_buffer(), U), n) + nth.astype(U))
+            yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(element), id_)), "element": pa.array(element.view(np.int64))})
+
+
+def verifier(docs: DataFrame, k: int, threshold: float) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """A function that keeps the pairs (a, b) of doc_ids whose weighted Jaccard similarity reaches the
+    threshold, and one that gives the elements of ids. The sets of the first call's documents serve the later calls."""
+    held: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        if not held:
+            ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+            texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
+            held.append(staged(texts.mapInArrow(_sets(k), "id long, items binary, counts binary"), "sets"))
+        for side in "ab":
+            sets = held[0].select(F.col("id").alias(side), F.col("items").alias(f"items_{side}"), F.col("counts").alias(f"counts_{side}"))
+            pairs = pairs.join(sets, side)
+        return pairs.mapInArrow(_similar(threshold), "a long, b long")
+
+    def elements(ids: DataFrame) -> DataFrame:
+        return held[0].join(ids.distinct(), "id", "left_semi").mapInArrow(_flat, "id long, element long")
+
+    return verify, elements
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -204,7 +225,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     sketch = staged(known.mapInArrow(_sketch(k, bands, rows), "doc_id long, digest binary, keys array<long>"), "sketch")
     texts = staged(sketch.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
     keys = texts.select("id", F.explode("keys").alias("key"))
-    found = classes_of(keys, lambda pairs: verified(known, pairs, k, threshold))
+    found = classes_of(keys, *verifier(known, k, threshold), threshold)
     copies = sketch.select("doc_id", "digest").join(texts.select("digest", "id"), "digest").select("doc_id", "id").distinct()
     classes = copies.join(found, copies["id"] == found["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("class_id"))
     return docs.select("doc_id").join(classes, "doc_id", "left").select(

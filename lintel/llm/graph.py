@@ -44,33 +44,53 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def classes_of(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def prefix_keys(elements: DataFrame, threshold: float) -> DataFrame:
+    """(id, key, place, size): the rarest elements of each set and their places in order of rarity, enough
+    that any two sets of rows (id, element) with a Jaccard similarity of at least threshold share one."""
+    often = elements.groupBy("element").count().where("count > 1")
+    rated = elements.join(often, "element", "left").select("id", F.struct(F.coalesce("count", F.lit(1)).alias("n"), "element").alias("e"))
+    sets = rated.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e")).withColumn("size", F.size("e"))
+    prefix = F.slice("e", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1)
+    return sets.select("id", "size", F.posexplode(prefix).alias("at", "p")).where("p.n > 1").select("id", F.col("p.element").alias("key"), (F.col("at") + 1).alias("place"), "size")
+
+
+def classes_of(
+    keys: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], threshold: float
+) -> DataFrame:
     """(node, component) over the links that verify(pairs) confirms among rows (id, key) of equal key.
 
-    Rows of a bucket meet its least id, not each other. What then still stands in
-    another component than most of its bucket meets the whole bucket, so no link
-    between two components of a bucket is missed, and a bucket whose rows are all
-    alike costs its size. pairs and links are (a, b) with a > b.
+    Rows of a bucket meet its leader, not each other: the row that meets most
+    others over all buckets, which in a group of copies with differing edits is
+    the one they come from. Rows of buckets that hold several components after
+    that are searched exactly: elements(ids) gives their sets, and those that
+    share one of their rarest elements, at places that leave enough others to
+    share, and are in different components meet, each element's largest component only meeting
+    the rest. So no link between components of a bucket is missed and no crowded
+    bucket is paired out. pairs and links are (a, b) with a > b; the first pairs
+    name every id that a later pair can name.
     """
-    buckets = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    members = staged(keys.join(buckets.select("key", "leader"), "key"), "members")
-    pairs = members.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b")).distinct()
+    sizes = keys.groupBy("key").count().where("count > 1")
+    shared = staged(keys.join(sizes, "key"), "shared")
+    met = shared.groupBy("id").agg(F.sum("count").alias("met"))
+    ranked = staged(shared.select("key", "id").join(met, "id"), "ranked")
+    leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader"))
+    members = staged(ranked.select("key", "id").join(leaders, "key"), "members")
+    pairs = members.where("id <> leader").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
     links = staged(verify(pairs), "links")
     found = components(links)
     held = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    held = staged(held, "held")
     mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    mixed = staged(held.join(mixed, "key", "left_semi"), "mixed")
-    main = mixed.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = mixed.join(main, "key").where("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("of_a"))
-    pairs = (
-        rest.join(mixed.select("key", F.col("id").alias("b"), F.col("component").alias("of_b")), "key")
-        .where("of_a <> of_b")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-        .join(links, ["a", "b"], "left_anti")
-    )
-    pairs = staged(pairs, "pairs")
-    if pairs.isEmpty():
+    mixed = staged(held.join(mixed, "key", "left_semi").select("id", "component").distinct(), "mixed")
+    if mixed.isEmpty():
         return found
-    late = staged(verify(pairs), "late")
+    close = staged(prefix_keys(elements(mixed.select("id")), threshold).join(mixed, "id"), "close")
+    main = close.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
+    rest = close.join(main, "key").where("component <> main")
+    least = F.ceil((F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9)
+    enough = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1 >= least
+    side = lambda rows, s: rows.select("key", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("component", "place", "size")))
+    pairs = side(rest, "a").join(side(close, "b"), "key").where((F.col("component_a") != F.col("component_b")) & enough)
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    late = staged(verify(staged(pairs, "pairs")), "late")
     return found if late.isEmpty() else components(links.union(late))
