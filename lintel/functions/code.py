@@ -68,3 +68,8 @@ def lenient_json(raw: Column) -> Column:
     single = F.replace(F.regexp_replace(F.regexp_replace(inner, r"\bTrue\b", "true"), r"\bFalse\b", "false"), F.lit("'"), F.lit('"'))
     tries.append(F.regexp_replace(F.regexp_replace(single, r"\bNone\b", "null"), r",(\s*[}\]])", "$1"))
     return F.coalesce(*[F.when(F.try_parse_json(t).isNotNull() & (t != ""), t) for t in tries])
+
+
+def micros(at: Column) -> Column:
+    """Microseconds since 1970 of a timestamp with or without zone, as its wall clock says."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), at.cast("timestamp_ntz"))
