@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintel.llm import crosspolytope, dartminhash, debruijn, gru_lm, langid, line_dedup, mcd, packing, rff_quality, sentencepieces
+from lintel.llm import crosspolytope, dartminhash, debruijn, gru_lm, langid, line_dedup, mcd, oracles, packing, rff_quality, sentencepieces
 from lintel.llm.common import fold, table
 
 
@@ -74,4 +74,9 @@ QUERIES = {
     "op10_debruijn_dedup": op10_debruijn_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+#: The other queries aren't SQL: learned models, robust estimates, library encodings and fuzzy lines.
+ORACLES: dict[str, str] = {
+    "op5_dart_near_dedup": oracles.OP5,
+    "op8_cross_polytope": oracles.OP8,
+    "op10_debruijn_dedup": oracles.OP10,
+}
