@@ -2,7 +2,7 @@
 
 Counting. Every word of every text goes, by its hash, to a part that counts it
 over all training texts and sends back what its documents need: sums of
-log10(count + 1) and numbers of known words. Totals, and counts by class, are
+log10(count + 1) and numbers of known words, a blob for each chunk of documents. Totals, and counts by class, are
 sums over parts. No vocabulary is collected; the `HEAD` most frequent tokens are.
 
 Model. p(token) = p(class | state) p(token | class, state). Frequent tokens have
@@ -17,6 +17,7 @@ carries the state through the whole document, many documents abreast.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,12 +72,15 @@ def _pairs(parts: int):
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 hashes, doc, times = hashes[order], doc[order].astype(np.uint32), times[order].astype(np.uint32)
                 keys = piece.column("key").to_numpy().tobytes()
+                chunk = int.from_bytes(hashlib.blake2b(keys, digest_size=8).digest(), "little", signed=True)
                 train = piece.column("train").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
                 some = np.flatnonzero(np.diff(cuts))
                 spans = [slice(cuts[p], cuts[p + 1]) for p in some]
                 yield pa.RecordBatch.from_pydict({
                     "part": pa.array(some, pa.int32()),
-                    "keys": pa.array([keys] * len(some), pa.binary()),
+                    "chunk": pa.array([chunk] * len(some), pa.int64()),
+                    "pairs": pa.array([len(doc)] * len(some), pa.int64()),
+                    "keys": pa.array([keys, *[b""] * (len(some) - 1)][: len(some)], pa.binary()),
                     "train": pa.array([train] * len(some), pa.binary()),
                     "docs": pa.array([_planes(np.diff(doc[s], prepend=np.uint32(0)), 4) for s in spans], pa.binary()),
                     "times": pa.array([_planes(times[s], 4) for s in spans], pa.binary()),
@@ -86,41 +90,69 @@ def _pairs(parts: int):
     return deal
 
 
-DOC, TOKEN, TOTAL, CLASS = range(4)
+CHUNK, TOKEN, TOTAL, CLASS = range(4)
+_COUNTS = "kind int, key long, s double, n long, keys binary, sums binary"
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Of a part: sums by document, its most frequent words, and totals. Rows (kind, key, s, n)."""
-    hashes, keys, times, train = [], [], [], []
-    for row in table.select(["keys", "train", "docs", "times", "hashes"]).to_batches(max_chunksize=64):
-        for k, t, d, n, h in zip(*(c.to_pylist() for c in row.columns), strict=True):
+    """Of a part: sums by document of each chunk, its most frequent words, and totals.
+
+    Rows (kind, key, s, n, keys, sums). A chunk's row has its pairs in all as s,
+    those of this part as n, and sums: per document the sum of log10(count + 1)
+    and the number of known words.
+    """
+    hashes, places, times, train, sizes = [], [], [], [], []
+    heads = {c: table.column(c).to_pylist() for c in ("chunk", "pairs", "keys")}
+    base = 0
+    for row in table.select(["train", "docs", "times", "hashes"]).to_batches(max_chunksize=64):
+        for t, d, n, h in zip(*(c.to_pylist() for c in row.columns), strict=True):
             d = np.cumsum(_numbers(d, 4).astype(np.int64))
             hashes.append(_numbers(h, 8))
-            keys.append(np.frombuffer(k, np.int64)[d])
+            places.append(d + base)
             train.append(np.frombuffer(t, np.uint8)[d])
             times.append(_numbers(n, 4).astype(np.int64))
-    hashes, keys, times, train = map(np.concatenate, (hashes, keys, times, train))
+            sizes.append(len(t))
+            base += len(t)
+    own = [len(h) for h in hashes]
+    hashes, places, times, train = map(np.concatenate, (hashes, places, times, train))
     order = np.argsort(hashes)
-    hashes, keys, times, train = hashes[order], keys[order], times[order], train[order]
+    hashes, places, times, train = hashes[order], places[order], times[order], train[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     counts = np.add.reduceat(times * train, first)
     each = np.repeat(counts, np.diff(np.append(first, len(hashes))))
-    docs, at = np.unique(keys, return_inverse=True)
-    sums = np.bincount(at, weights=times * np.log10(each + 1.0))
-    known = np.bincount(at, weights=times * (each > 0))
+    sums = np.bincount(places, weights=times * np.log10(each + 1.0), minlength=base)
+    known = np.bincount(places, weights=times * (each > 0), minlength=base)
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    blobs = [sums[a:b].tobytes() + known[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     top = np.argsort(-counts, kind="stable")[:HEAD]
     top = top[counts[top] > 0]
     cls = (hashes[first] & U(TAILS - 1)).astype(np.int64)
     tokens, types = np.bincount(cls, weights=counts, minlength=TAILS), np.bincount(cls, weights=counts > 0, minlength=TAILS)
-    kinds = np.repeat([DOC, TOKEN, TOTAL, CLASS], [len(docs), len(top), 1, TAILS]).astype(np.int32)
+    rest = len(top) + 1 + TAILS
     return pa.table({
-        "kind": kinds,
-        "key": np.concatenate([docs, hashes[first][top].view(np.int64), [0], np.arange(TAILS)]),
-        "s": np.concatenate([sums, counts[top], [counts.sum()], tokens]).astype(float),
-        "n": np.concatenate([known, np.zeros(len(top)), [(counts > 0).sum()], types]).astype(np.int64),
+        "kind": np.repeat([CHUNK, TOKEN, TOTAL, CLASS], [len(own), len(top), 1, TAILS]).astype(np.int32),
+        "key": np.concatenate([np.array(heads["chunk"], np.int64), hashes[first][top].view(np.int64), [0], np.arange(TAILS)]),
+        "s": np.concatenate([np.array(heads["pairs"], float), counts[top], [counts.sum()], tokens]).astype(float),
+        "n": np.concatenate([own, np.zeros(len(top)), [(counts > 0).sum()], types]).astype(np.int64),
+        "keys": pa.array([*heads["keys"], *[None] * rest], pa.binary()),
+        "sums": pa.array([*blobs, *[None] * rest], pa.binary()),
     })
 
 
+def _by_document(table: pa.Table) -> pa.Table:
+    """(key, s, known) of a chunk's documents, from what all parts sent back."""
+    # Chunks of equal rows count together, as their rows do later.
+    if sum(table.column("n").to_pylist()) % int(table.column("s")[0].as_py()):
+        raise ValueError("a part of a chunk is missing: its task was repeated on rows in another order")
+    keys = np.frombuffer(next(k for k in table.column("keys").to_pylist() if k), np.int64)
+    n = len(keys)
+    sums, known = np.zeros(n), np.zeros(n, np.int64)
+    for blob in table.column("sums").to_pylist():
+        sums += np.frombuffer(blob, np.float64, n)
+        known += np.frombuffer(blob, np.int32, n, 8 * n)
+    return pa.table({"key": keys, "s": sums, "known": known})
+
+
 # Model
 
 
@@ -415,15 +447,14 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     parts = max(16, width(spark))
     pairs = rows.select("key", (~F.col("held_out")).alias("train"), "text").mapInArrow(
-        _pairs(parts), "part int, keys binary, train binary, docs binary, times binary, hashes binary"
+        _pairs(parts), "part int, chunk long, pairs long, keys binary, train binary, docs binary, times binary, hashes binary"
     )
-    counted = pairs.groupBy("part").applyInArrow(_count, "kind int, key long, s double, n long")
-    counted = staged(counted.groupBy("kind", "key").agg(F.sum("s").alias("s"), F.sum("n").alias("n")), "counts")
+    counted = staged(pairs.groupBy("part").applyInArrow(_count, _COUNTS), "counts")
     ends = rows.where(~F.col("held_out")).count()
-    total = counted.where(f"kind = {TOTAL}").first()
-    n, distinct = (int(total["s"]) if total else 0) + ends, (total["n"] if total else 0) + (ends > 0)
+    total = counted.where(f"kind = {TOTAL}").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    n, distinct = int(total["s"] or 0) + ends, (total["n"] or 0) + (ends > 0)
     head = [(r["key"], r["s"]) for r in counted.where(f"kind = {TOKEN}").orderBy(F.desc("s"), "key").limit(HEAD - 1).collect()]
-    classes = {r["key"]: (r["s"], r["n"]) for r in counted.where(f"kind = {CLASS}").collect()}
+    classes = {r["key"]: (r["s"], r["n"]) for r in counted.where(f"kind = {CLASS}").groupBy("key").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect()}
     tokens, types = (np.array([classes.get(i, (0, 0))[j] for i in range(TAILS)], float) for j in range(2))
     v = Vocabulary(head, ends, tokens, types)
     w = initial(v)
@@ -437,7 +468,8 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     model = spark.sparkContext.broadcast((v, w))
     scored = staged(rows.select("key", "text").mapInArrow(_score(model), "key long, n_tokens long, net double, heads double"), "scored")
     scored = scored.groupBy("key").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("n_tokens", "net", "heads")))
-    sums = counted.where(f"kind = {DOC}").select("key", "s", F.col("n").alias("known"))
+    sent = counted.where(f"kind = {CHUNK}").groupBy("key").applyInArrow(_by_document, "key long, s double, known long")
+    sums = sent.groupBy("key").agg(F.sum("s").alias("s"), F.sum("known").alias("known"))
     known = scored.join(sums, "key", "left").select(
         "key", "n_tokens", "net", "heads", (F.coalesce("s", F.lit(0.0)) / F.col("copies")).alias("logs"), (F.coalesce("known", F.lit(0)) / F.col("copies")).cast("long").alias("known"),
     )
