@@ -34,6 +34,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    # Shuffle files of finished jobs go when the driver forgets them; have it do so now.
+    jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

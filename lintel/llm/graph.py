@@ -44,13 +44,17 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+SHARED = 3
+
+
 def prefix_keys(elements: DataFrame, threshold: float) -> DataFrame:
     """(id, key, place, size): the rarest elements of each set and their places in order of rarity, enough
-    that any two sets of rows (id, element) with a Jaccard similarity of at least threshold share one."""
+    that any two sets of rows (id, element) with a Jaccard similarity of at least threshold share SHARED
+    of them, or all that they must share if that is less."""
     often = elements.groupBy("element").count().where("count > 1")
     rated = elements.join(often, "element", "left").select("id", F.struct(F.coalesce("count", F.lit(1)).alias("n"), "element").alias("e"))
     sets = rated.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e")).withColumn("size", F.size("e"))
-    prefix = F.slice("e", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1)
+    prefix = F.slice("e", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + SHARED)
     return sets.select("id", "size", F.posexplode(prefix).alias("at", "p")).where("p.n > 1").select("id", F.col("p.element").alias("key"), (F.col("at") + 1).alias("place"), "size")
 
 
@@ -63,7 +67,7 @@ def classes_of(
     others over all buckets, which in a group of copies with differing edits is
     the one they come from. Rows of buckets that hold several components after
     that are searched exactly: elements(ids) gives their sets, and those that
-    share one of their rarest elements, at places that leave enough others to
+    share some of their rarest elements, at places that leave enough others to
     share, and are in different components meet, each element's largest component only meeting
     the rest. So no link between components of a bucket is missed and no crowded
     bucket is paired out. pairs and links are (a, b) with a > b; the first pairs
@@ -88,9 +92,10 @@ def classes_of(
     main = close.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rest = close.join(main, "key").where("component <> main")
     least = F.ceil((F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9)
-    enough = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1 >= least
+    enough = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + SHARED >= least
     side = lambda rows, s: rows.select("key", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("component", "place", "size")))
     pairs = side(rest, "a").join(side(close, "b"), "key").where((F.col("component_a") != F.col("component_b")) & enough)
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "key", F.least(least, F.lit(SHARED)).alias("needed")).distinct()
+    pairs = pairs.groupBy("a", "b", "needed").count().where("count >= needed").select("a", "b")
     late = staged(verify(staged(pairs, "pairs")), "late")
     return found if late.isEmpty() else components(links.union(late))
