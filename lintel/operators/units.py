@@ -167,12 +167,10 @@ def units_of(text: str, language: str) -> list[dict]:
     return python_units(text) if language == "python" else scanned_units(text, language)
 
 
-def module_residue(text: str, units: list[dict]) -> tuple[str, int]:
-    """The lines outside every unit, and the number of the first."""
-    lines = text.split("\n")
+def module_residue(text: str, units: list[dict]) -> str:
+    """The file with the lines of its units blank, so that what is left keeps its line numbers."""
     inside = {n for u in units for n in range(u["lineno"], u["end_lineno"] + 1)}
-    kept = [(i, x) for i, x in enumerate(lines, 1) if i not in inside]
-    return "\n".join(x for _, x in kept), next((i for i, x in kept if x.strip()), 1)
+    return "\n".join("" if i in inside else x for i, x in enumerate(text.split("\n"), 1))
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,7 +181,7 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             text = (text or "").replace("\r\n", "\n")
             found = units_of(text, language)
             rows += [{**{k: u[k] for k in columns if k in u}, "file": file, "language": language, "is_module": False} for u in found]
-            rest, _ = module_residue(text, found)
+            rest = module_residue(text, found)
             if rest.strip():
                 rows.append({"file": file, "language": language, "name": "<module>", "qualname": "<module>", "class_name": None, "lineno": 1, "end_lineno": text.count("\n") + 1, "source": rest, "decorators": "", "params": [], "is_module": True})
         yield pd.DataFrame(rows, columns=columns)
