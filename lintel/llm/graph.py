@@ -45,6 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 SHARED = 3
+SMALL = 8
 
 
 def prefix_keys(elements: DataFrame, threshold: float) -> DataFrame:
@@ -65,8 +66,8 @@ def classes_of(
 
     Rows of a bucket meet its leader, not each other: the row that meets most
     others over all buckets, which in a group of copies with differing edits is
-    the one they come from. Rows of buckets that hold several components after
-    that are searched exactly: elements(ids) gives their sets, and those that
+    the one they come from. Of small buckets the other pairs meet too. Larger ones
+    that hold several components after that are searched exactly: elements(ids) gives their sets, and those that
     share some of their rarest elements, at places that leave enough others to
     share, and are in different components meet, each element's largest component only meeting
     the rest. So no link between components of a bucket is missed and no crowded
@@ -76,18 +77,29 @@ def classes_of(
     sizes = keys.groupBy("key").count().where("count > 1")
     shared = staged(keys.join(sizes, "key"), "shared")
     met = shared.groupBy("id").agg(F.sum("count").alias("met"))
-    ranked = staged(shared.select("key", "id").join(met, "id"), "ranked")
+    ranked = staged(shared.join(met, "id"), "ranked")
     leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader"))
-    members = staged(ranked.select("key", "id").join(leaders, "key"), "members")
+    members = staged(ranked.select("key", "id", "count").join(leaders, "key"), "members")
     pairs = members.where("id <> leader").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
     links = staged(verify(pairs), "links")
     found = components(links)
-    held = members.join(found, members["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    held = staged(held, "held")
-    mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    mixed = staged(held.join(mixed, "key", "left_semi").select("id", "component").distinct(), "mixed")
-    if mixed.isEmpty():
-        return found
+    held = members.where("count > 2").join(found, members["id"] == found["node"], "left")
+    held = staged(held.select("key", "id", "count", "leader", F.coalesce("component", "id").alias("component")), "held")
+    few = held.where(f"count <= {SMALL} AND id <> leader")
+    few = few.select("key", F.col("id").alias("a"), F.col("component").alias("component_a")).join(
+        few.select("key", F.col("id").alias("b"), F.col("component").alias("component_b")), "key"
+    )
+    few = few.where("a > b AND component_a <> component_b").select("a", "b").distinct()
+    crowded = held.where(f"count > {SMALL}")
+    mixed = crowded.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    mixed = staged(crowded.join(mixed, "key", "left_semi").select("id", "component").distinct(), "mixed")
+    pairs = few if mixed.isEmpty() else few.union(_close_pairs(mixed, elements, threshold))
+    late = staged(verify(staged(pairs.distinct(), "pairs")), "late")
+    return found if late.isEmpty() else components(links.union(late))
+
+
+def _close_pairs(mixed: DataFrame, elements: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components of mixed (id, component) that may reach the threshold."""
     close = staged(prefix_keys(elements(mixed.select("id")), threshold).join(mixed, "id"), "close")
     main = close.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rest = close.join(main, "key").where("component <> main")
@@ -96,6 +108,4 @@ def classes_of(
     side = lambda rows, s: rows.select("key", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("component", "place", "size")))
     pairs = side(rest, "a").join(side(close, "b"), "key").where((F.col("component_a") != F.col("component_b")) & enough)
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "key", F.least(least, F.lit(SHARED)).alias("needed")).distinct()
-    pairs = pairs.groupBy("a", "b", "needed").count().where("count >= needed").select("a", "b")
-    late = staged(verify(staged(pairs, "pairs")), "late")
-    return found if late.isEmpty() else components(links.union(late))
+    return pairs.groupBy("a", "b", "needed").count().where("count >= needed").select("a", "b")
