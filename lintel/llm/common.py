@@ -57,3 +57,9 @@ def fold(key: str, modulus: int) -> Column:
 def width(spark: SparkSession, least: int = 1) -> int:
     """Tasks to deal a shuffle to: follows spark.sql.shuffle.partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def width_for(df: DataFrame, least: int, each: int = 8 << 20) -> int:
+    """Tasks for df by the planner's estimate of its bytes, `each` a task, at most as a shuffle has."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(least, min(width(df.sparkSession), size // each))

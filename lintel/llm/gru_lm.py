@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.arraysum import SCHEMA, summed, to_blocks
-from lintel.llm.common import arrow_rows, staged, width
+from lintel.llm.common import arrow_rows, staged, width_for
 from lintel.llm.debruijn import _numbers, _planes
 from lintel.llm.textkernel import U, Words, chunks, mix
 
@@ -36,6 +36,7 @@ TAILS = 32
 STATE = 24
 WINDOW, STREAMS = 32, 32
 ROUNDS, SHARE = 2, 16
+REPLICA = 200_000  # training tokens of a replica and round
 RATE = 6e-3
 SEGMENT = 1 << 20
 END = 0
@@ -94,7 +95,12 @@ CHUNK, TOKEN, TOTAL, CLASS = range(4)
 _COUNTS = "kind int, key long, s double, n long, keys binary, sums binary"
 
 
-def _count(table: pa.Table) -> pa.Table:
+def _most(parts: int) -> int:
+    """Frequent words that one of some parts may hold: words fall to parts evenly, this is beyond 8 deviations."""
+    return min(HEAD, int(HEAD / parts + 8 * (HEAD / parts) ** 0.5) + 32)
+
+
+def _count(table: pa.Table, parts: int) -> pa.Table:
     """Of a part: sums by document of each chunk, its most frequent words, and totals.
 
     Rows (kind, key, s, n, keys, sums). A chunk's row has its pairs in all as s,
@@ -124,7 +130,7 @@ def _count(table: pa.Table) -> pa.Table:
     known = np.bincount(places, weights=times * (each > 0), minlength=base)
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     blobs = [sums[a:b].tobytes() + known[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    top = np.argsort(-counts, kind="stable")[:HEAD]
+    top = np.argsort(-counts, kind="stable")[:_most(parts)]
     top = top[counts[top] > 0]
     cls = (hashes[first] & U(TAILS - 1)).astype(np.int64)
     tokens, types = np.bincount(cls, weights=counts, minlength=TAILS), np.bincount(cls, weights=counts > 0, minlength=TAILS)
@@ -445,11 +451,11 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     arrow_rows(spark)
     rows = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
-    parts = max(16, width(spark))
+    parts = width_for(docs, 16)
     pairs = rows.select("key", (~F.col("held_out")).alias("train"), "text").mapInArrow(
         _pairs(parts), "part int, chunk long, pairs long, keys binary, train binary, docs binary, times binary, hashes binary"
     )
-    counted = staged(pairs.groupBy("part").applyInArrow(_count, _COUNTS), "counts")
+    counted = staged(pairs.groupBy("part").applyInArrow(lambda part: _count(part, parts), _COUNTS), "counts")
     ends = rows.where(~F.col("held_out")).count()
     total = counted.where(f"kind = {TOTAL}").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
     n, distinct = int(total["s"] or 0) + ends, (total["n"] or 0) + (ends > 0)
@@ -459,9 +465,10 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     v = Vocabulary(head, ends, tokens, types)
     w = initial(v)
     fold = F.pmod(F.xxhash64("key"), F.lit(SHARE))
+    replicas = max(4, n // (SHARE * REPLICA))
     for r in range(ROUNDS):
         model = spark.sparkContext.broadcast((v, w))
-        some = rows.where(~F.col("held_out") & (fold == r)).select("text", "key").repartition(max(4, width(spark) // 2), "key")
+        some = rows.where(~F.col("held_out") & (fold == r)).select("text", "key").repartition(replicas)
         sums = summed(some.select("text").mapInArrow(_train(model), SCHEMA))
         if "" in sums:
             w = {k: (sums[k] / sums[""][0]).reshape(x.shape).astype(f32) for k, x in w.items()}
