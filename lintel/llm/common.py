@@ -61,5 +61,5 @@ def width(spark: SparkSession, least: int = 1) -> int:
 
 def width_for(df: DataFrame, least: int, each: int = 8 << 20) -> int:
     """Tasks for df by the planner's estimate of its bytes, `each` a task, at most as a shuffle has."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(least, min(width(df.sparkSession), size // each))
