@@ -13,13 +13,14 @@ def scan_tree(spark: SparkSession, target: str, cap: int = MAX_FILE_BYTES) -> Da
     """All files below target: path, rel_path, size, language, status, text of the analysable.
 
     Rows that are skipped stay, so counters can be computed; their content isn't
-    decoded. Bytes that aren't UTF-8 become replacement characters.
+    decoded. Bytes that aren't UTF-8 become replacement characters. Empty files have no
+    rows, as Spark's reader leaves them out.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(target)
     root = target.rstrip("/") + "/"
     rel = F.regexp_replace(F.col("path"), "^.*?" + "\\Q" + root.split("://")[-1].lstrip("/") + "\\E", "")
     rows = found.select("path", rel.alias("rel_path"), F.col("length").alias("size"), "content")
-    return with_status(rows, cap).withColumn("text", F.when(F.col("status") == "analysable", F.decode(F.col("content"), "UTF-8"))).drop("content")
+    return with_status(rows, cap).withColumn("text", F.when(F.col("status") == "analysable", F.make_valid_utf8(F.col("content").cast("string")))).drop("content")
 
 
 def with_status(files: DataFrame, cap: int = MAX_FILE_BYTES) -> DataFrame:
