@@ -177,14 +177,17 @@ def _similar(threshold: float):
     return check
 
 
-def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, element) rows of the sets, an element for each time that an item counts."""
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, elements): an element for each time that an item of a set counts."""
     for batch in batches:
-        for id_, items, counts in zip(batch.column("id").to_pylist(), batch.column("items"), batch.column("counts"), strict=True):
+        found = []
+        for items, counts in zip(batch.column("items"), batch.column("counts"), strict=True):
             n = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
             nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            element = mix(np.repeat(np.frombuffer(items.as_buffer(), U), n) + nth.astype(U))
-            yield pa.RecordBatch.from_pydict({"id": pa.array(np.full(len(element), id_)), "element": pa.array(element.view(np.int64))})
+            found.append(mix(np.repeat(np.frombuffer(items.as_buffer(), U), n) + nth.astype(U)).view(np.int64))
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "elements": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
 
 
 def verifier(docs: DataFrame, k: int, threshold: float) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
@@ -203,7 +206,7 @@ def verifier(docs: DataFrame, k: int, threshold: float) -> tuple[Callable[[DataF
         return pairs.mapInArrow(_similar(threshold), "a long, b long")
 
     def elements(ids: DataFrame) -> DataFrame:
-        return held[0].join(ids.distinct(), "id", "left_semi").mapInArrow(_flat, "id long, element long")
+        return held[0].join(ids.distinct(), "id", "left_semi").mapInArrow(_arrays, "id long, elements array<long>")
 
     return verify, elements
 

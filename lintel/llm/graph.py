@@ -46,17 +46,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 SHARED = 3
 SMALL = 8
+BUCKETS = 1 << 18
 
 
-def prefix_keys(elements: DataFrame, threshold: float) -> DataFrame:
+def prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
     """(id, key, place, size): the rarest elements of each set and their places in order of rarity, enough
-    that any two sets of rows (id, element) with a Jaccard similarity of at least threshold share SHARED
-    of them, or all that they must share if that is less."""
-    often = elements.groupBy("element").count().where("count > 1")
-    rated = elements.join(often, "element", "left").select("id", F.struct(F.coalesce("count", F.lit(1)).alias("n"), "element").alias("e"))
-    sets = rated.groupBy("id").agg(F.sort_array(F.collect_list("e")).alias("e")).withColumn("size", F.size("e"))
+    that any two of sets (id, elements) with a Jaccard similarity of at least threshold share SHARED
+    of them, or all that they must share if that is less.
+
+    Any one order of elements serves. Rarity is counted in a fixed number of
+    buckets of hashes, at most `BUCKETS`, so that the sets stay where they are and
+    only their prefixes are dealt out.
+    """
+    n = sets.count()
+    buckets = min(BUCKETS, 1 << max(10, (16 * n).bit_length()))
+    spot = lambda e: F.pmod(e, F.lit(buckets)).cast("int")
+    counts = sets.select(F.explode(F.transform("elements", spot)).alias("b")).groupBy("b").count()
+    every = sets.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    level = F.least(F.lit(9), F.floor(F.log2(F.greatest(F.coalesce("count", F.lit(0)), F.lit(1))))).cast("string")
+    # One digit a bucket: a constant of a fixed size that travels with the plan.
+    digits = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", level.alias("n")))), lambda x: x["n"]), "")).first()[0]
+    often = F.split(F.lit(digits), "").cast("array<int>")
+    rated = F.sort_array(F.transform("elements", lambda e: F.struct(F.get(often, spot(e)).alias("n"), e.alias("element"))))
+    sized = sets.select("id", F.size("elements").alias("size"), rated.alias("e"))
     prefix = F.slice("e", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + SHARED)
-    return sets.select("id", "size", F.posexplode(prefix).alias("at", "p")).where("p.n > 1").select("id", F.col("p.element").alias("key"), (F.col("at") + 1).alias("place"), "size")
+    return sized.select("id", "size", F.posexplode(prefix).alias("at", "p")).where("p.n > 0").select("id", F.col("p.element").alias("key"), (F.col("at") + 1).alias("place"), "size")
 
 
 def classes_of(
@@ -100,7 +114,8 @@ def classes_of(
 
 def _close_pairs(mixed: DataFrame, elements: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
     """Pairs (a, b) of different components of mixed (id, component) that may reach the threshold."""
-    close = staged(prefix_keys(elements(mixed.select("id")), threshold).join(mixed, "id"), "close")
+    sets = staged(elements(mixed.select("id")), "sets_of_mixed")
+    close = staged(prefix_keys(sets, threshold).join(mixed, "id"), "close")
     main = close.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rest = close.join(main, "key").where("component <> main")
     least = F.ceil((F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9)
