@@ -45,7 +45,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 SHARED = 3
-SMALL = 8
+SMALL = 16
 BUCKETS = 1 << 18
 
 
