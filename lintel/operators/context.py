@@ -77,15 +77,13 @@ def is_text(line: Column) -> Column:
 def evaluate(type_: Column, language: Column, source: Column, role: Column, file_text: Column) -> Column:
     """keep, penalize or drop."""
     sensitive = type_.isin(*TEXT_SENSITIVE)
-    triggers, sinks = F.lit(None).cast("string"), F.lit(False)
-    bare = source
+    sinks, bare = F.lit(False), source
     for literal in (r'"[^"]*"', r"'[^']*'", r"#[^\n]*", r"//[^\n]*"):
         bare = F.regexp_replace(bare, literal, "")
     hits = F.array().cast("array<string>")
     for name, (words, sink) in TEXT_SENSITIVE.items():
         hits = F.when(type_ == name, F.filter(F.split(source, "\n", -1), lambda x: x.rlike(words))).otherwise(hits)  # noqa: B023
         sinks = F.when(type_ == name, bare.rlike(sink)).otherwise(sinks)
-    del triggers
     only_text = (F.size(hits) > 0) & F.forall(hits, is_text)
     text = F.coalesce(file_text, F.lit(""))
     return (

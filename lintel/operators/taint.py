@@ -302,7 +302,9 @@ def other_functions(text: str, language: str) -> list[Function]:
         for callee, args, at in calls_in(body, blanked(body, language)):
             line = u["lineno"] + body.count("\n", 0, at)
             f.calls.append((re.split(r"->|::|\.", callee.replace("new ", ""))[-1].strip(), split_args(args), line))
-            for cls in sinks_of(callee if cls_needs_args(callee) is False else callee + args[:40].rstrip(")"), language):
+            # header("Location: ...") is a sink by its argument.
+            shown = callee + args[:40].rstrip(")") if callee.strip() == "header" else callee
+            for cls in sinks_of(shown, language):
                 reads = source_in(args, language)
                 uses = any(named(v, args) for v in f.tainted)
                 for p, names in derived.items():
@@ -322,10 +324,6 @@ def other_functions(text: str, language: str) -> list[Function]:
     return out
 
 
-def cls_needs_args(callee: str) -> bool:
-    return callee.strip() == "header"
-
-
 def spread(functions: list[Function], language: str) -> None:
     """Summaries grow by the summaries of callees along positional arguments, but not through an
     argument that is sanitised there or where its variable is assigned."""

@@ -102,11 +102,8 @@ def scanned_units(text: str, language: str) -> list[dict]:
                         break
             else:
                 end = _close(bare, m.end() - 1)
-            raw = text[m.start() : m.end()]
             name = g.get("name") or f"handler[{g['call'].rsplit('.', 1)[1].upper()} {g['route']}]"
-            inside = re.search(re.escape(g.get("params") or "") or r"$^", raw)
             params = text[m.start("params") : m.end("params")] if g.get("params") else (g.get("bare") or "")
-            del inside
             cls = next((c for a, b, c in sorted(classes, reverse=True) if a < begin < b), None)
             before = text[:begin].rsplit("\n\n", 1)[-1].split("\n")[:-1]
             marks = [x.strip() for x in before if re.match(r"\s*(@\w|\[\w)", x)]
