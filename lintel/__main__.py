@@ -29,6 +29,8 @@ def arguments() -> argparse.Namespace:
 def main() -> int:
     a = arguments()
     spark = SparkSession.builder.appName("lintel").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if spark.sparkContext.master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     found = engine.scan_directory(spark, a.target, enabled=tuple(a.rules) if a.rules else None, with_flows=not a.no_flows)
     found = found.where(F.col("confidence") >= a.min_confidence).cache()
     investigate.console(found)
