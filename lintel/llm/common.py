@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,21 +24,49 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
+def _folder(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder once and return a reader of it.
 
     This cuts the lineage and survives lost executors; the folder goes when the
-    application ends.
+    function marked `frees_stages` around it returns, or the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/staged-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path.rsplit("/", 1)[0])
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    folder = f"{shared_root(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    where, files = _folder(spark, folder)
+    files.deleteOnExit(where)
+    if _scopes:
+        _scopes[-1].append(folder)
     # Shuffle files of finished jobs go when the driver forgets them; have it do so now.
-    jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def frees_stages(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """f, whose result is staged itself, so that all it staged on the way is deleted at once."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs) -> DataFrame:
+        _scopes.append([])
+        try:
+            result = f(*args, **kwargs)
+        finally:
+            inner = _scopes.pop()
+        kept = staged(result, f.__name__)
+        for folder in inner:
+            where, files = _folder(kept.sparkSession, folder)
+            files.delete(where, True)
+        return kept
+
+    return run
 
 
 def arrow_rows(spark: SparkSession, rows: str = ARROW_ROWS) -> None:

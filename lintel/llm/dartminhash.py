@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import arrow_rows, staged
+from lintel.llm.common import arrow_rows, frees_stages, staged
 from lintel.llm.graph import classes_of
 from lintel.llm.textkernel import U, Words, chunks, mix, runs
 
@@ -211,6 +211,18 @@ def verifier(docs: DataFrame, k: int, threshold: float) -> tuple[Callable[[DataF
     return verify, elements
 
 
+@frees_stages
+def _classes(docs: DataFrame, k: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(doc_id, class_id) of the rows with a doc_id and words."""
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    sketch = staged(known.mapInArrow(_sketch(k, bands, rows), "doc_id long, digest binary, keys array<long>"), "sketch")
+    texts = staged(sketch.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
+    keys = texts.select("id", F.explode("keys").alias("key"))
+    found = classes_of(keys, *verifier(known, k, threshold), threshold)
+    copies = sketch.select("doc_id", "digest").join(texts.select("digest", "id"), "digest").select("doc_id", "id").distinct()
+    return copies.join(found, copies["id"] == found["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("class_id"))
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, class_id, kept) for each row: the classes of linked documents and the one kept of each.
 
@@ -221,16 +233,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESH
     (their class_id is null and they are kept). Rows that share a doc_id share a
     class; of them all are kept or none. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    arrow_rows(spark)
-    docs = docs.select("doc_id", "text")
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketch = staged(known.mapInArrow(_sketch(k, bands, rows), "doc_id long, digest binary, keys array<long>"), "sketch")
-    texts = staged(sketch.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
-    keys = texts.select("id", F.explode("keys").alias("key"))
-    found = classes_of(keys, *verifier(known, k, threshold), threshold)
-    copies = sketch.select("doc_id", "digest").join(texts.select("digest", "id"), "digest").select("doc_id", "id").distinct()
-    classes = copies.join(found, copies["id"] == found["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("class_id"))
+    arrow_rows(docs.sparkSession)
+    classes = _classes(docs.select("doc_id", "text"), k, threshold, bands, rows)
     return docs.select("doc_id").join(classes, "doc_id", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.lit(True)).alias("kept")
     )

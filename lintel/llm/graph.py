@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import staged
+from lintel.llm.common import frees_stages, staged
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("a <> b").distinct()
 
 
+@frees_stages
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes in edges (a, b); component is the least node reachable.
 
@@ -73,6 +74,7 @@ def prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
     return sized.select("id", "size", F.posexplode(prefix).alias("at", "p")).where("p.n > 0").select("id", F.col("p.element").alias("key"), (F.col("at") + 1).alias("place"), "size")
 
 
+@frees_stages
 def classes_of(
     keys: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], threshold: float
 ) -> DataFrame:
