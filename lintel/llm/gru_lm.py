@@ -10,14 +10,17 @@ classes with a softmax of their own; all other words fall in classes by first
 letter and alphabet, and share their class by add-one counts, one share being
 for words that training does not have. So probabilities sum to one.
 
-Training. Replicas run truncated backpropagation in numpy on a documented share
-of the training texts, which grows with them (`SHARE`); their weights are averaged after each round. Scoring
-carries the state through the whole document, many documents abreast.
+Training. Every training text is in one of the rounds, and replicas run truncated
+backpropagation in numpy over all texts of a round; their weights are averaged
+after it. Replicas take about `REPLICA` tokens a round, so with more tokens there
+are more replicas and, from some size on, more rounds, either as the square root.
+Scoring carries the state through the whole document, many documents abreast.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +38,7 @@ PER_CLASS = 64
 TAILS = 32
 STATE = 24
 WINDOW, STREAMS = 32, 32
-ROUNDS, SHARE = 2, 16
+ROUNDS = 16  # at least
 REPLICA = 200_000  # training tokens of a replica and round
 RATE = 6e-3
 SEGMENT = 1 << 20
@@ -319,10 +322,12 @@ class Trainer:
 
     def learn(self, tokens: np.ndarray, starts: np.ndarray) -> list[float]:
         """tokens: texts one after another, each begun by END; starts marks those ENDs."""
-        length = (len(tokens) - 1) // STREAMS
-        if length < 1:
+        targets = len(tokens) - 1
+        if targets < 1:
             return []
-        at = np.arange(STREAMS) * length
+        # Streams overlap by a token at most, so that none is left over.
+        length = -(-targets // STREAMS)
+        at = np.arange(STREAMS) * (targets - length) // (STREAMS - 1)
         h, losses = np.zeros((STREAMS, STATE), f32), []
         for t in range(0, length, WINDOW):
             rows = np.arange(t, min(t + WINDOW, length))[:, None] + at[None, :]
@@ -359,7 +364,7 @@ def _train(model):
                     starts[at + begin[:-1]] = True
                     at += len(t)
                 trainer.learn(tokens, starts)
-                total += len(tokens)
+                total += len(tokens) - 1
                 held.clear()
 
         for batch in batches:
@@ -464,11 +469,14 @@ def score(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     tokens, types = (np.array([classes.get(i, (0, 0))[j] for i in range(TAILS)], float) for j in range(2))
     v = Vocabulary(head, ends, tokens, types)
     w = initial(v)
-    fold = F.pmod(F.xxhash64("key"), F.lit(SHARE))
-    replicas = max(4, n // (SHARE * REPLICA))
-    for r in range(ROUNDS):
+    rounds = max(ROUNDS, math.isqrt(n // REPLICA))
+    replicas = max(1, n // (rounds * REPLICA))
+    taught = rows.where(~F.col("held_out")).select("text", "key", F.pmod(F.xxhash64("key"), F.lit(rounds)).alias("round"))
+    # Sorted, so that a round reads its own pages only.
+    taught = staged(taught.sortWithinPartitions("round"), "taught")
+    for r in range(rounds):
         model = spark.sparkContext.broadcast((v, w))
-        some = rows.where(~F.col("held_out") & (fold == r)).select("text", "key").repartition(replicas)
+        some = taught.where(F.col("round") == r).select("text", "key").repartition(replicas)
         sums = summed(some.select("text").mapInArrow(_train(model), SCHEMA))
         if "" in sums:
             w = {k: (sums[k] / sums[""][0]).reshape(x.shape).astype(f32) for k, x in w.items()}

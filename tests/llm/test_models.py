@@ -73,6 +73,35 @@ def test_language_model_scores(spark, docs):
     assert gru_lm.score(docs([]).withColumn("held_out", F.lit(False))).count() == 0
 
 
+def test_every_training_text_reaches_the_network(spark, docs, monkeypatch):
+    learned, summed = [], gru_lm.summed
+
+    def counted(blocks):
+        sums = summed(blocks)
+        learned.append(sums[""][0] if "" in sums else 0)
+        return sums
+
+    monkeypatch.setattr(gru_lm, "summed", counted)
+    rows = corpus(150)
+    got = gru_lm.score(docs(rows).withColumn("held_out", F.col("doc_id") % 7 == 2)).first()
+    assert sum(learned) == got["train_tokens"] == sum(len(t.split()) + 1 for i, t, _ in rows if i % 7 != 2)
+
+
+def test_every_token_of_a_segment_is_a_target(monkeypatch):
+    v = gru_lm.Vocabulary([(int(h), 10.0) for h in range(1, 100)], 20, np.full(gru_lm.TAILS, 900.0), np.full(gru_lm.TAILS, 90.0))
+    seen, inner = set(), gru_lm.window_gradients
+
+    def watched(w, v, x, y, keep, h):
+        seen.update(y.ravel().tolist())
+        return inner(w, v, x, y, keep, h)
+
+    monkeypatch.setattr(gru_lm, "window_gradients", watched)
+    for n in (2, 20, 70, v.inputs):
+        seen.clear()
+        gru_lm.Trainer(gru_lm.initial(v), v, 1e-3).learn(np.arange(n), np.zeros(n, bool))
+        assert seen == set(range(1, n))
+
+
 def test_state_goes_through_whole_documents():
     v = gru_lm.Vocabulary([(int(h), 10.0) for h in range(1, 100)], 20, np.full(gru_lm.TAILS, 900.0), np.full(gru_lm.TAILS, 90.0))
     w = gru_lm.initial(v)
