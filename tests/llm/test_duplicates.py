@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from lintel.llm import crosspolytope, dartminhash, debruijn, graph, line_dedup
 from lintel.llm.textkernel import Words
@@ -113,6 +114,23 @@ def test_lines_against_brute_force(spark, docs):
     assert line_dedup.drop_lines(docs([])).count() == 0
 
 
+def test_long_lines_with_scattered_edits_meet(spark):
+    rng = random.Random(7)
+    grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    pairs = []
+    while len(pairs) < 600:
+        n = rng.choice([100, 200, 400, 800])
+        a = "".join(rng.choice("abcdefghijklmnop" + "   " * (len(pairs) % 2)) for _ in range(n))
+        b = list(a)
+        for at in rng.sample(range(n), n // 50):
+            b[at] = "z"
+        b = "".join(b)
+        if 0.8 <= len(grams(a) & grams(b)) / len(grams(a) | grams(b)) <= 0.85:
+            pairs.append((a, b))
+    keys = spark.createDataFrame(pairs, "a string, b string").select(line_dedup.line_keys(F.col("a")).alias("a"), line_dedup.line_keys(F.col("b")).alias("b"))
+    assert keys.where("arrays_overlap(a, b)").count() >= 0.99 * len(pairs)
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 24))
