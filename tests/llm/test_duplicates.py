@@ -114,6 +114,12 @@ def test_lines_against_brute_force(spark, docs):
     assert line_dedup.drop_lines(docs([])).count() == 0
 
 
+def test_repetitive_lines_meet_across_lengths(spark, docs):
+    texts = ["=" * 60, "=" * 90, "-+" * 30, "-+" * 60, "na " * 20 + "na", "na " * 40 + "na"]
+    got = {r["doc_id"]: r["n_removed"] for r in line_dedup.drop_lines(docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 1, 0, 1, 0, 1]
+
+
 def test_long_lines_with_scattered_edits_meet(spark):
     rng = random.Random(7)
     grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
