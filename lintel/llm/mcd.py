@@ -26,10 +26,12 @@ SYMBOLS = "#*$%&|<>"
 H = 0.75
 STEPS = 3
 LEAST = 100
-#: Quantiles of chi square with 5 degrees of freedom, at H and at 1 - 1.4e-9.
-CHI_H, CUTOFF = 6.6257, 50.0
-#: A transformed statistic's standard deviation counts as this at least.
-FLOORS = (0.35, 0.06, 0.03, 0.15, 0.12)
+#: The quantile of chi square with 5 degrees of freedom at 0.999.
+CUTOFF = 20.515
+#: H over the share of chi square with 7 degrees below its H quantile with 5: makes the covariance of the nearest H of normal rows that of all.
+CONSISTENCY = 1.4121
+#: Deviations whose squares are added to the covariance, as groups may be constant in a statistic: a share counts from about 5 %, or 1 % of symbols.
+FLOORS = (0.1, 0.02, 0.02, 0.05, 0.05)
 P = len(FLOORS)
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -107,7 +109,7 @@ def _estimates(rows: DataFrame, key: list[str]) -> DataFrame:
     found = rows.groupBy(*key).agg(*(F.avg(f"z{i}").alias(f"m{i}") for i in range(P)), *cov)
     for i in range(P):
         for j in range(i + 1):
-            value = F.col(f"c{i}{j}") + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
+            value = F.col(f"c{i}{j}") * CONSISTENCY + F.lit(FLOORS[i] ** 2 if i == j else 0.0)
             for k in range(j):
                 value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             found = found.withColumn(f"l{i}{j}", F.sqrt(value) if i == j else value / F.col(f"l{j}{j}"))
@@ -168,8 +170,6 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         rated = pool.join(estimates, "group").select("group", "start", *vector, _distance().alias("d"))
     best = estimates.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("best"))
     final = estimates.join(best, "group").where("start = best")
-    spread = rated.groupBy(*key).agg((F.percentile_approx("d", F.lit(H), F.lit(1000)) / F.lit(CHI_H)).alias("spread"))
-    final = staged(final.join(spread, key).drop("start", "best", "logdet"), "final")
-    distance = _distance() / F.greatest("spread", F.lit(1.0))
-    judged = rows.join(final, "group", "left").select("doc_id", *STATISTICS, "base_failed", distance.alias("distance"))
+    final = staged(final.drop("start", "best", "logdet"), "final")
+    judged = rows.join(final, "group", "left").select("doc_id", *STATISTICS, "base_failed", _distance().alias("distance"))
     return judged.select("doc_id", *STATISTICS, "base_failed", (~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= cutoff)).alias("kept"), "distance")

@@ -162,6 +162,19 @@ def test_outliers(spark, docs):
     assert mcd.judge(docs([])).count() == 0
 
 
+def test_a_single_statistic_can_reject(spark, docs):
+    vocabulary = ["".join(RNG.choice("abcdefgh") for _ in range(RNG.randint(3, 8))) for _ in range(4000)]
+    line = lambda: " ".join(RNG.choice(vocabulary) for _ in range(RNG.randint(9, 15)))
+    clean = [(i, "\n".join(line() for _ in range(RNG.randint(8, 12)))) for i in range(200)]
+    again = "\n".join(x for _ in range(5) for x in (line() + " " + line(), "abc defg"))
+    passage = line() + " " + line()
+    said_twice = "\n".join([passage, *(line() for _ in range(5)), passage])
+    got = {r["doc_id"]: r for r in mcd.judge(docs([*clean, (300, again), (301, said_twice)])).collect()}
+    assert (got[300]["n_dup_lines"], got[300]["n_repeat_words"], got[300]["base_failed"], got[300]["kept"]) == (4, 0, False, False)
+    assert not got[301]["base_failed"] and got[301]["n_repeat_words"] > 0.25 * got[301]["n_words"] and not got[301]["kept"]
+    assert sum(got[i]["kept"] for i, _ in clean) >= 196
+
+
 def test_pipeline(spark, tmp_path):
     sf = "/root/testdata/sf0.001"
     packed = corpus_pipeline.run(spark, sf).collect()
