@@ -2,7 +2,7 @@ import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lintel.llm import sentencepieces
+from lintel.llm import queries, sentencepieces
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -23,3 +23,15 @@ def test_encode(spark, docs):
     e = sentencepieces.encoder(PATH)
     assert {i: list(r["ids"]) for i, r in rows.items()} == {i: e.library.encode(t or "") for i, t in enumerate(texts)}
     assert sentencepieces.encode(docs([]), PATH).count() == 0
+
+
+def test_the_query_compares_whole_documents(spark, monkeypatch):
+    seen, inner = [], sentencepieces._encode
+
+    def watched(path, check, with_ids):
+        seen.append(check)
+        return inner(path, check, with_ids)
+
+    monkeypatch.setattr(sentencepieces, "_encode", watched)
+    assert queries.op3_sentencepiece(spark, "/root/testdata/sf0.001").count() == 200
+    assert seen == [True]
