@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lintel.llm.common import shuffles_freed
+
 BLOCK = 4096
 SALTS = 64
 SCHEMA = "key string, block int, salt int, values binary"
@@ -15,7 +17,7 @@ SCHEMA = "key string, block int, salt int, values binary"
 
 def to_blocks(arrays: dict[str, np.ndarray]) -> pa.RecordBatch:
     """One task's arrays as rows for summed(): float64, cut in blocks, under one salt."""
-    salt = uuid4().int % SALTS
+    salt = TaskContext.get().partitionId() % SALTS  # a task that is repeated must deal the same
     rows = [
         (key, at // BLOCK, salt, np.ascontiguousarray(x.reshape(-1)[at : at + BLOCK], np.float64).tobytes())
         for key, x in arrays.items()
@@ -35,6 +37,8 @@ def summed(blocks: DataFrame) -> dict[str, np.ndarray]:
     """The sums by key. First per salt, then over salts; the driver gets one array a key."""
     total = blocks.groupBy("key", "block", "salt").applyInArrow(_add, SCHEMA).groupBy("key", "block").applyInArrow(_add, SCHEMA)
     found: dict[str, dict[int, bytes]] = {}
-    for r in total.collect():
+    with shuffles_freed(blocks.sparkSession):
+        rows = total.collect()
+    for r in rows:
         found.setdefault(r["key"], {})[r["block"]] = bytes(r["values"])
     return {k: np.frombuffer(b"".join(v[i] for i in sorted(v)), np.float64).copy() for k, v in found.items()}

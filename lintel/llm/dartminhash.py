@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import arrow_rows, frees_stages, staged
-from lintel.llm.graph import classes_of
+from lintel.llm.common import arrow_rows, blobs, carried, flat, frees_stages, lean, staged
+from lintel.llm.graph import buckets, classes_of
 from lintel.llm.textkernel import U, Words, chunks, mix, runs
 
 SHINGLE = 5
@@ -128,30 +128,32 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketch(k: int, bands: int, rows: int):
+    @lean
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch):
                 words = Words(piece.column("text"))
                 doc, found, count = elements(words, k)
                 signature, any_ = signatures(doc, found, count, len(piece), bands * rows)
-                keys = bands_of(signature, bands, rows).view(np.int64)
+                keys = bands_of(signature, bands, rows)
                 digest = [hashlib.blake2b(b" ".join(words.text(i).split()), digest_size=16).digest() for i in range(len(piece))]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(piece) + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": piece.column("doc_id"), "digest": pa.array(digest, pa.binary()), "keys": lists
+                    "doc_id": piece.column("doc_id"), "text_hash": piece.column("text_hash"), "digest": pa.array(digest, pa.binary()),
+                    "keys": blobs(keys, np.arange(len(piece) + 1) * bands),
                 }).filter(pa.array(any_))
 
     return sketch
 
 
 def _sets(k: int):
+    @lean
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch):
                 doc, found, count = elements(Words(piece.column("text")), k)
                 cuts = np.searchsorted(doc, np.arange(len(piece) + 1))
                 yield pa.RecordBatch.from_pydict({
-                    "id": piece.column("doc_id"),
+                    "id": piece.column("id"),
                     "items": pa.array([found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                     "counts": pa.array([count[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 })
@@ -166,6 +168,7 @@ def weighted_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray)
 
 
 def _similar(threshold: float):
+    @lean
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
@@ -177,64 +180,87 @@ def _similar(threshold: float):
     return check
 
 
+@lean
 def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, elements): an element for each time that an item of a set counts."""
+    """(id, elements): an element for each time that an item of a set counts, as a blob."""
     for batch in batches:
-        found = []
-        for items, counts in zip(batch.column("items"), batch.column("counts"), strict=True):
-            n = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
-            nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found.append(mix(np.repeat(np.frombuffer(items.as_buffer(), U), n) + nth.astype(U)).view(np.int64))
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "elements": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
-
-
-def verifier(docs: DataFrame, k: int, threshold: float) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
-    """A function that keeps the pairs (a, b) of doc_ids whose weighted Jaccard similarity reaches the
-    threshold, and one that gives the elements of ids. The sets of the first call's documents serve the later calls."""
+        items, n = flat(batch.column("items"), U)
+        counts, _ = flat(batch.column("counts"), np.uint32)
+        counts = counts.astype(np.int64)
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        found = mix(np.repeat(items, counts) + nth.astype(U))
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(n)])]
+        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "elements": blobs(found, ends)})
+
+
+def verifier(
+    docs: DataFrame, texts: DataFrame, k: int, threshold: float
+) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
+    """A function that keeps the pairs (a, b) of ids whose weighted Jaccard similarity reaches the threshold,
+    and one that gives the elements of ids. texts (id, doc_id, text_hash) says where in docs the text of an id
+    stands. The sets of the first call's ids serve the later calls."""
     held: list[DataFrame] = []
 
     def verify(pairs: DataFrame) -> DataFrame:
         if not held:
             ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-            texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id"])
-            held.append(staged(texts.mapInArrow(_sets(k), "id long, items binary, counts binary"), "sets"))
+            # The wanted rows grow with the input, so they are never broadcast.
+            wanted = texts.select("id", "doc_id", "text_hash").join(ids.hint("merge"), "id").hint("merge")
+            found = docs.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["id"]) if _repeat(docs) else docs.join(wanted, ["doc_id", "text_hash"])
+            held.append(staged(found.select("id", "text").mapInArrow(_sets(k), "id long, items binary, counts binary"), "sets"))
         for side in "ab":
             sets = held[0].select(F.col("id").alias(side), F.col("items").alias(f"items_{side}"), F.col("counts").alias(f"counts_{side}"))
             pairs = pairs.join(sets, side)
         return pairs.mapInArrow(_similar(threshold), "a long, b long")
 
     def elements(ids: DataFrame) -> DataFrame:
-        return held[0].join(ids.distinct(), "id", "left_semi").mapInArrow(_arrays, "id long, elements array<long>")
+        return held[0].join(ids.distinct(), "id", "left_semi").mapInArrow(_arrays, "id long, elements binary")
 
     return verify, elements
 
 
+def _repeat(docs: DataFrame) -> bool:
+    """Whether some rows share doc_id and text."""
+    return not docs.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+
+
 @frees_stages
 def _classes(docs: DataFrame, k: int, threshold: float, bands: int, rows: int) -> DataFrame:
-    """(doc_id, class_id) of the rows with a doc_id and words."""
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
-    sketch = staged(known.mapInArrow(_sketch(k, bands, rows), "doc_id long, digest binary, keys array<long>"), "sketch")
-    texts = staged(sketch.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "texts")
-    keys = texts.select("id", F.explode("keys").alias("key"))
-    found = classes_of(keys, *verifier(known, k, threshold), threshold)
-    copies = sketch.select("doc_id", "digest").join(texts.select("digest", "id"), "digest").select("doc_id", "id").distinct()
-    return copies.join(found, copies["id"] == found["node"], "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("class_id"))
+    """(doc_id, text_hash, class_id, keeper) of the rows (doc_id, text_hash, text) with words: the least
+    (doc_id, text_hash) of the class is its keeper."""
+    schema = "doc_id long, text_hash long, digest binary, keys binary"
+    sketch = staged(docs.mapInArrow(_sketch(k, bands, rows), schema), "sketch")
+    row = F.struct("doc_id", "text_hash")
+    texts = sketch.groupBy("digest").agg(F.min(row).alias("first"), F.first("keys").alias("keys"))
+    texts = staged(texts.select("digest", "first.*", "keys").withColumn("id", F.monotonically_increasing_id()), "texts")
+    found = classes_of(staged(buckets(texts.select("id", "keys")), "shared"), *verifier(docs, texts, k, threshold), threshold)
+    classes = texts.join(found, texts["id"] == found["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    classes = staged(classes.select("digest", "component", row.alias("first")), "classes")
+    firsts = classes.groupBy("component").agg(F.min("first").alias("keeper"))
+    classes = classes.join(firsts, "component").select("digest", "keeper")
+    united = sketch.select("doc_id", "text_hash", "digest").distinct().join(classes, "digest")
+    return united.select("doc_id", "text_hash", F.col("keeper.doc_id").alias("class_id"), (row == F.col("keeper")).alias("keeper"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, class_id, kept) for each row: the classes of linked documents and the one kept of each.
+    """docs with class_id and kept: the classes of linked documents and the one kept of each.
 
     Linked are texts of equal words, and candidate texts whose runs of k words,
     counted, have a weighted Jaccard similarity of at least threshold; a text of
-    fewer words is one run. class_id is the smallest doc_id of the class. Texts
-    that are null or without words link with nothing, nor do rows without doc_id
-    (their class_id is null and they are kept). Rows that share a doc_id share a
-    class; of them all are kept or none. Other columns are ignored.
+    fewer words is one run. class_id is the smallest doc_id of the class, kept
+    tells its row. Texts that are null or without words link with nothing, nor do
+    rows without doc_id (their class_id is null and they are kept). Rows that share
+    a doc_id but not the text are documents of their own, of which the one with
+    the smaller hash counts as the smaller; rows that share both count as one and
+    stay or go together. An empty table gives an empty result. Columns of docs
+    named like a result are replaced.
     """
     arrow_rows(docs.sparkSession)
-    classes = _classes(docs.select("doc_id", "text"), k, threshold, bands, rows)
-    return docs.select("doc_id").join(classes, "doc_id", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce(F.col("doc_id") == F.coalesce("class_id", "doc_id"), F.lit(True)).alias("kept")
+    there, back = carried(docs, ("class_id", "kept"))
+    text_hash = F.xxhash64("text").alias("text_hash")
+    held = docs.select(*there, "doc_id", text_hash, F.col("text").isNotNull().alias("any"))
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_hash, "text")
+    classes = _classes(known, k, threshold, bands, rows).withColumn("any", F.lit(True))
+    return held.join(classes, ["doc_id", "text_hash", "any"], "left").select(
+        *back, F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("keeper", F.lit(True)).alias("kept")
     )

@@ -1,13 +1,18 @@
-"""Connected components as Spark joins: alternating large and small stars."""
+"""Buckets of equal keys, the links inside them, and connected components as Spark joins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import frees_stages, staged
+from lintel.llm.arraysum import SCHEMA, summed, to_blocks
+from lintel.llm.common import blobs, flat, frees_stages, lean, staged
+from lintel.llm.textkernel import U, mix
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -45,59 +50,119 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-SHARED = 3
+# Buckets
+
 SMALL = 16
-BUCKETS = 1 << 18
+ENTRIES = 1 << 19  # of a part, on average; also those a task holds before it deals them
 
 
-def prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, key, place, size): the rarest elements of each set and their places in order of rarity, enough
-    that any two of sets (id, elements) with a Jaccard similarity of at least threshold share SHARED
-    of them, or all that they must share if that is less.
+def _dealt(part: np.ndarray, columns: list[np.ndarray], flags: int) -> pa.RecordBatch:
+    """Entries as a row for each part, its columns as blobs c0, c1, ..."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    cuts = np.append(first, len(part))
+    rows = {"part": pa.array(part[first].astype(np.int64)), "flags": pa.array(np.full(len(first), flags, np.int32))}
+    return pa.RecordBatch.from_pydict(rows | {f"c{i}": blobs(c[order], cuts) for i, c in enumerate(columns)})
+
+
+def _spot(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) % U(parts)).astype(np.int64)
+
+
+CONFIRMED, PLAIN, MANY = range(3)
+
+
+def _deal(parts: int):
+    """Entries (key, id) by part. Keys that a task sees twice are shared for certain: their entries are only
+    passed on, spread evenly, and one entry tells the key's part; so a common key fills no part."""
+
+    @lean
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            k, i = np.concatenate(keys), np.concatenate(ids)
+            keys.clear(), ids.clear()
+            held = 0
+            order = np.argsort(k, kind="stable")
+            k, i = k[order], i[order]
+            same = k[1:] == k[:-1]
+            shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            first = shared & ~np.concatenate([[False], same])
+            # By task, not at random: a task that is repeated must deal the same.
+            spread = np.arange(int(shared.sum()), dtype=np.int64) // 4096 + TaskContext.get().partitionId()
+            for part, some, flags in ((parts + spread % parts, shared, CONFIRMED), (_spot(k[~shared], parts), ~shared, PLAIN), (_spot(k[first], parts), first, MANY)):
+                if some.any():
+                    yield _dealt(part, [k[some], i[some]], flags)
+
+        for batch in batches:
+            k, n = flat(batch.column("keys"), np.int64)
+            keys.append(k)
+            ids.append(np.repeat(batch.column("id").to_numpy(), n))
+            held += len(k)
+            if held >= ENTRIES:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    return deal
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """(key, id) of a part's keys that several ids have, and of the entries passed on."""
+    keys, ids, flags = [], [], []
+    for batch in table.to_batches(max_chunksize=256):
+        k, n = flat(batch.column("c0"), np.int64)
+        keys.append(k)
+        ids.append(flat(batch.column("c1"), np.int64)[0])
+        flags.append(np.repeat(batch.column("flags").to_numpy(), n))
+    keys, ids, flags = map(np.concatenate, (keys, ids, flags))
+    if flags[0] != CONFIRMED:
+        order = np.argsort(keys, kind="stable")
+        keys, ids, flags = keys[order], ids[order], flags[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.diff(np.append(first, len(keys)))
+        shared = np.repeat((n > 1) | (np.maximum.reduceat(flags, first) == MANY), n) & (flags == PLAIN)
+        keys, ids = keys[shared], ids[shared]
+    return pa.table({"key": keys, "id": ids})
+
+
+def buckets(sketches: DataFrame) -> DataFrame:
+    """(key, id) of every key that several rows of sketches (id, keys) have; keys is a blob of distinct 64-bit numbers."""
+    entries = sketches.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
+    parts = max(16, entries // 8 // ENTRIES)
+    dealt = sketches.select("id", "keys").mapInArrow(_deal(parts), "part long, flags int, c0 binary, c1 binary")
+    return dealt.groupBy("part").applyInArrow(_gather, "key long, id long")
 
-    Any one order of elements serves. Rarity is counted in a fixed number of
-    buckets of hashes, at most `BUCKETS`, so that the sets stay where they are and
-    only their prefixes are dealt out.
-    """
-    n = sets.count()
-    buckets = min(BUCKETS, 1 << max(10, (16 * n).bit_length()))
-    spot = lambda e: F.pmod(e, F.lit(buckets)).cast("int")
-    counts = sets.select(F.explode(F.transform("elements", spot)).alias("b")).groupBy("b").count()
-    every = sets.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
-    level = F.least(F.lit(9), F.floor(F.log2(F.greatest(F.coalesce("count", F.lit(0)), F.lit(1))))).cast("string")
-    # One digit a bucket: a constant of a fixed size that travels with the plan.
-    digits = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", level.alias("n")))), lambda x: x["n"]), "")).first()[0]
-    often = F.split(F.lit(digits), "").cast("array<int>")
-    rated = F.sort_array(F.transform("elements", lambda e: F.struct(F.get(often, spot(e)).alias("n"), e.alias("element"))))
-    sized = sets.select("id", F.size("elements").alias("size"), rated.alias("e"))
-    prefix = F.slice("e", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + SHARED)
-    return sized.select("id", "size", F.posexplode(prefix).alias("at", "p")).where("p.n > 0").select("id", F.col("p.element").alias("key"), (F.col("at") + 1).alias("place"), "size")
+
+# Links inside buckets
 
 
 @frees_stages
 def classes_of(
-    keys: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], threshold: float
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], threshold: float
 ) -> DataFrame:
-    """(node, component) over the links that verify(pairs) confirms among rows (id, key) of equal key.
+    """(node, component) over the links that verify(pairs) confirms among ids that share a key in shared (key, id).
 
     Rows of a bucket meet its leader, not each other: the row that meets most
     others over all buckets, which in a group of copies with differing edits is
     the one they come from. Of small buckets the other pairs meet too. Larger ones
-    that hold several components after that are searched exactly: elements(ids) gives their sets, and those that
-    share some of their rarest elements, at places that leave enough others to
-    share, and are in different components meet, each element's largest component only meeting
-    the rest. So no link between components of a bucket is missed and no crowded
-    bucket is paired out. pairs and links are (a, b) with a > b; the first pairs
-    name every id that a later pair can name.
+    that hold several components after that are searched exactly: elements(ids)
+    gives their sets, and rows of different components meet if they share one of
+    their rarest elements early enough. So no link between components of a bucket is missed
+    and no crowded bucket is paired out. pairs and links are (a, b) with a > b;
+    the first pairs name every id that a later pair can name.
     """
-    sizes = keys.groupBy("key").count().where("count > 1")
-    shared = staged(keys.join(sizes, "key"), "shared")
-    met = shared.groupBy("id").agg(F.sum("count").alias("met"))
-    ranked = staged(shared.join(met, "id"), "ranked")
-    leaders = ranked.groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader"))
-    members = staged(ranked.select("key", "id", "count").join(leaders, "key"), "members")
+    sizes = shared.groupBy("key").count()
+    ranked = staged(shared.join(sizes, "key"), "ranked")
+    met = ranked.groupBy("id").agg(F.sum("count").alias("met"))
+    led = ranked.join(met, "id")
+    leaders = led.groupBy("key").agg(F.max_by("id", F.struct("met", -F.col("id"))).alias("leader"))
+    members = staged(ranked.join(leaders, "key"), "members")
     pairs = members.where("id <> leader").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b")).distinct()
-    links = staged(verify(pairs), "links")
+    links = staged(verify(staged(pairs, "pairs")), "links")
     found = components(links)
     held = members.where("count > 2").join(found, members["id"] == found["node"], "left")
     held = staged(held.select("key", "id", "count", "leader", F.coalesce("component", "id").alias("component")), "held")
@@ -110,19 +175,82 @@ def classes_of(
     mixed = crowded.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
     mixed = staged(crowded.join(mixed, "key", "left_semi").select("id", "component").distinct(), "mixed")
     pairs = few if mixed.isEmpty() else few.union(_close_pairs(mixed, elements, threshold))
-    late = staged(verify(staged(pairs.distinct(), "pairs")), "late")
+    late = staged(verify(staged(pairs.distinct(), "late_pairs")), "late")
     return found if late.isEmpty() else components(links.union(late))
 
 
+# Exact search by rarest elements
+
+RARITY = 1 << 20
+
+
+@lean
+def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(RARITY)
+    for batch in batches:
+        total += np.bincount(_spot(flat(batch.column("elements"), np.int64)[0], RARITY), minlength=RARITY)
+    yield to_blocks({"n": total} if total.any() else {})
+
+
+def _prefixes(parts: int, threshold: float, often):
+    """Of each set the rarest elements, by part: so many that two sets of at least the similarity share one."""
+
+    @lean
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = often.value
+        for batch in batches:
+            values, n = flat(batch.column("elements"), np.int64)
+            count = counts[_spot(values, RARITY)]
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((values, count, row))
+            place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+            most = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+            some = (place < most[row]) & (count[order] > 1)
+            at, row = order[some], row[some]
+            columns = [values[at], *(batch.column(c).to_numpy()[row] for c in ("id", "component")), (place[some] + 1).astype(np.int32), n[row].astype(np.int32)]
+            if len(at):
+                yield _dealt(_spot(values[at], parts), columns, 0)
+
+    return deal
+
+
+def _between(table: pa.Table) -> pa.Table:
+    """The entries of a part's elements that several components have."""
+    rows = [[flat(b.column(f"c{i}"), t)[0] for i, t in enumerate((np.int64, np.int64, np.int64, np.int32, np.int32))] for b in table.to_batches(max_chunksize=256)]
+    key, id_, component, place, size = map(np.concatenate, zip(*rows, strict=True))
+    order = np.lexsort((component, key))
+    key, id_, component, place, size = (x[order] for x in (key, id_, component, place, size))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    last = np.append(first[1:], len(key)) - 1
+    some = np.repeat(component[first] != component[last], last - first + 1)
+    return pa.table({"key": key[some], "id": id_[some], "component": component[some], "place": place[some], "size": size[some]})
+
+
+def prefix_entries(sets: DataFrame, threshold: float) -> DataFrame:
+    """(key, id, component, place, size): the elements among the rarest of sets (id, component, elements) that several components share.
+
+    place counts from the rarest on. Any one order of elements serves; rarity is
+    counted in `RARITY` buckets of hashes, a table of fixed size.
+    """
+    spark = sets.sparkSession
+    often = summed(sets.select("elements").mapInArrow(_rarity, SCHEMA)).get("n", np.zeros(RARITY))
+    total = int(often.sum())
+    parts = max(16, total // ENTRIES)
+    columns = "part long, flags int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
+    dealt = sets.select("id", "component", "elements").mapInArrow(_prefixes(parts, threshold, spark.sparkContext.broadcast(often)), columns)
+    return dealt.groupBy("part").applyInArrow(_between, "key long, id long, component long, place int, size int")
+
+
 def _close_pairs(mixed: DataFrame, elements: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components of mixed (id, component) that may reach the threshold."""
-    sets = staged(elements(mixed.select("id")), "sets_of_mixed")
-    close = staged(prefix_keys(sets, threshold).join(mixed, "id"), "close")
+    """Pairs (a, b) of different components of mixed (id, component) that may reach the threshold; of each
+    element, the component with most entries only meets the rest."""
+    sets = staged(elements(mixed.select("id")).join(mixed, "id"), "sets_of_mixed")
+    close = staged(prefix_entries(sets, threshold), "close")
     main = close.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
     rest = close.join(main, "key").where("component <> main")
+    # At the first element that two sets share, what follows in either must do for the rest that they have to share.
     least = F.ceil((F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9)
-    enough = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + SHARED >= least
+    enough = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1 >= least
     side = lambda rows, s: rows.select("key", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("component", "place", "size")))
     pairs = side(rest, "a").join(side(close, "b"), "key").where((F.col("component_a") != F.col("component_b")) & enough)
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "key", F.least(least, F.lit(SHARED)).alias("needed")).distinct()
-    return pairs.groupBy("a", "b", "needed").count().where("count >= needed").select("a", "b")
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -58,7 +58,7 @@ def op4_gru_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dartminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return dartminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 QUERIES = {
