@@ -10,7 +10,13 @@ source coordinates must give the same digest. Only then are the words covered by
 the path removed.
 
 The edges travel in blobs dealt by hash, so a passage that every document holds
-costs one entry a document and no pair of documents is ever formed.
+costs one entry a document and no pair of documents is ever formed. Should edges
+of different words share a hash, the check fails for the later one; then all
+windows are dealt again by other hashes, and what either finds counts.
+
+Paths compact per document, in numpy, not by joins over a table of nodes: the
+nodes of all repeated windows as rows would cost more shuffled bytes than the
+texts have.
 """
 
 from __future__ import annotations
@@ -24,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import arrow_rows, width
+from lintel.llm.common import arrow_rows, carried, frees_stages, lean, staged
 from lintel.llm.textkernel import U, Words, chunks, runs
 
 K = 13
 CHUNK = 4 << 20
+PART_BYTES = 8 << 20
 LOW = 64  # parts are a multiple; the edge's six low bits are its part's
 
 
@@ -44,23 +51,25 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _edges(k: int, parts: int):
+def _edges(k: int, parts: int, seed: int, mask: int):
     """Per chunk of documents and part: the edges' hashes, their places and the chunk's documents."""
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, most=CHUNK):
                 words = Words(piece.column("text"))
                 docs = words.doc_of()
-                edges, at = runs(words.hashes(), docs, k)
+                edges, at = runs(words.hashes(), docs, k, seed)
                 if not len(edges):
                     continue
+                edges &= U(mask)
                 part = (edges % U(parts)).astype(np.uint32)
                 order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
                 edges, at = edges[order] >> U(6), at[order].astype(np.uint32)
                 ids = np.asarray(piece.column("doc_id").to_numpy(), np.int64)
-                ids = _planes(np.diff(ids, prepend=0), 8)
+                ids = _planes(np.diff(ids, prepend=0), 8) + np.asarray(piece.column("text_hash").to_numpy(), np.int64).tobytes()
                 sizes = _planes(words.n_words.astype(np.uint32), 4)
                 some = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_pydict({
@@ -74,93 +83,125 @@ def _edges(k: int, parts: int):
     return deal
 
 
-_REPEATS = "doc_id long, repeats binary"
+_REPEATS = "doc_id long, text_hash long, repeats binary"
+
+
+def _first_of(*columns: np.ndarray) -> np.ndarray:
+    """Where rows begin that differ from the one before."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    new[0] = True
+    return np.flatnonzero(new)
 
 
 def _owners(table: pa.Table) -> pa.Table:
-    """The occurrences of a part's edges in other documents than the owner."""
-    edges, docs, places = [], [], []
+    """The occurrences of a part's edges in documents with another doc_id than the owner."""
+    edges, docs, places, ids, hashes = [], [], [], [], []
+    base = 0
     for row in table.select(["ids", "sizes", "places", "edges"]).to_batches(max_chunksize=64):
-        for ids, sizes, at, found in zip(*(c.to_pylist() for c in row.columns), strict=True):
+        for names, sizes, at, found in zip(*(c.to_pylist() for c in row.columns), strict=True):
             ends = np.cumsum(_numbers(sizes, 4).astype(np.int64))
             at = np.cumsum(_numbers(at, 4).astype(np.int64))
             doc = np.searchsorted(ends, at, side="right")
             begins = np.concatenate([[0], ends])
             edges.append(_numbers(found, 7))
-            docs.append(np.cumsum(_numbers(ids, 8).view(np.int64))[doc])
+            docs.append((doc + base).astype(np.int32))
             places.append((at - begins[doc]).astype(np.int32))
-    edges, docs, places = map(np.concatenate, (edges, docs, places))
+            ids.append(np.cumsum(_numbers(names[: 8 * len(ends)], 8).view(np.int64)))
+            hashes.append(np.frombuffer(names, np.int64, len(ends), 8 * len(ends)))
+            base += len(ends)
+    edges, docs, places, ids, hashes = map(np.concatenate, (edges, docs, places, ids, hashes))
     order = np.argsort(edges)
     edges, docs, places = edges[order], docs[order], places[order]
-    first = np.flatnonzero(np.concatenate([[True], edges[1:] != edges[:-1]]))
+    first = _first_of(edges)
     size = np.diff(np.append(first, len(edges)))
     many = np.repeat(size > 1, size)
     edges, docs, places = edges[many], docs[many], places[many]
-    if len(edges):
-        group = np.cumsum(np.concatenate([[True], edges[1:] != edges[:-1]])) - 1
-        order = np.lexsort((places, docs, group))
-        docs, places = docs[order], places[order]
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))[group]
-        owner, owner_place = docs[first], places[first]
-        other = docs != owner
-        docs, places, owner, owner_place = docs[other], places[other], owner[other], owner_place[other]
-    else:
-        owner, owner_place = docs, places
-    order = np.lexsort((places, docs))
+    group = np.cumsum(np.concatenate([[True], edges[1:] != edges[:-1]])) - 1 if len(edges) else np.zeros(0, np.int64)
+    order = np.lexsort((places, hashes[docs], ids[docs], group))
+    docs, places, group = docs[order], places[order], group[order]
+    begin = _first_of(group)[group] if len(group) else group
+    owner, owner_place = docs[begin], places[begin]
+    other = ids[docs] != ids[owner]
+    docs, places, owner, owner_place = docs[other], places[other], owner[other], owner_place[other]
+    order = np.lexsort((places, owner, docs))
     docs, places, owner, owner_place = docs[order], places[order], owner[order], owner_place[order]
-    first = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, np.int64)
-    cuts = np.append(first, len(docs)).tolist()
-    blobs = [owner[a:b].tobytes() + places[a:b].tobytes() + owner_place[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.table({"doc_id": docs[first], "repeats": pa.array(blobs, pa.binary())})
+    first = _first_of(docs, owner)
+    cuts = np.append(first, len(docs))
+    blobs = []
+    row = _first_of(docs[first])
+    for a, b in zip(row, np.append(row, len(first))[1:], strict=True):
+        own, n = owner[first[a:b]], np.diff(cuts[a : b + 1]).astype(np.int32)
+        span = slice(cuts[a], cuts[b])
+        blobs.append(b"".join(x.tobytes() for x in (np.int32([b - a]), ids[own], hashes[own], n, places[span], owner_place[span])))
+    rows = docs[first[row]]
+    return pa.table({"doc_id": ids[rows], "text_hash": hashes[rows], "repeats": pa.array(blobs, pa.binary())})
+
 
+def _parts(docs: DataFrame) -> int:
+    """A multiple of LOW, by the planner's estimate of the documents' size: what a part holds stays as it is."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return LOW * max(1, min(size, 1 << 50) // (LOW * PART_BYTES))
 
-def repeated_edges(docs: DataFrame, k: int = K) -> DataFrame:
-    """(doc_id, repeats): the windows that an earlier document holds too, a row for each document and part.
 
-    repeats holds their owners (64 bits), places and owners' places (32 bits each).
+def repeated_edges(docs: DataFrame, k: int = K, seed: int = 1, mask: int = 2**64 - 1) -> DataFrame:
+    """(doc_id, text_hash, repeats): the windows of docs (doc_id, text_hash, text) that an earlier document holds too, a row for each document and part.
+
+    repeats holds the number of owners, their ids and hashes (64 bits), how many
+    windows each has (32 bits), and the windows' places and owners' places (32 bits).
     """
-    spark = docs.sparkSession
-    parts = LOW * -(-width(spark) // LOW)
-    dealt = docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(
-        _edges(k, parts), "part int, ids binary, sizes binary, places binary, edges binary"
-    )
+    parts = _parts(docs)
+    dealt = docs.mapInArrow(_edges(k, parts, seed, mask), "part int, ids binary, sizes binary, places binary, edges binary")
     return dealt.groupBy("part").applyInArrow(_owners, _REPEATS)
 
 
-def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = len(raw) // 16
-    return np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.int32, n, 8 * n), np.frombuffer(raw, np.int32, n, 12 * n)
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Owners' ids and hashes, places and owners' places of each window."""
+    n = int(np.frombuffer(raw, np.int32, 1)[0])
+    ids, hashes = np.frombuffer(raw, np.int64, n, 4), np.frombuffer(raw, np.int64, n, 4 + 8 * n)
+    each = np.frombuffer(raw, np.int32, n, 4 + 16 * n)
+    total, begin = int(each.sum()), 4 + 20 * n
+    places = np.frombuffer(raw, np.int32, total, begin)
+    return np.repeat(ids, each), np.repeat(hashes, each), places, np.frombuffer(raw, np.int32, total, begin + 4 * total)
 
 
-def _spans(place: np.ndarray, owner: np.ndarray, owner_place: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """Maximal runs (start, edges, owner, owner's start) that go on in the document and in the owner."""
-    order = np.argsort(place)
-    place, owner, owner_place = place[order], owner[order], owner_place[order]
-    cut = np.concatenate([[True], (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1]) | (owner_place[1:] != owner_place[:-1] + 1)])
+def _spans(place: np.ndarray, owner: np.ndarray, owner_hash: np.ndarray, owner_place: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """Maximal runs (start, edges, owner, its hash, its start) that go on in the document and in the owner."""
+    # Equal rows name each place twice.
+    place, order = np.unique(place, return_index=True)
+    owner, owner_hash, owner_place = owner[order], owner_hash[order], owner_place[order]
+    cut = np.concatenate([[True], (place[1:] != place[:-1] + 1) | (owner[1:] != owner[:-1]) | (owner_hash[1:] != owner_hash[:-1]) | (owner_place[1:] != owner_place[:-1] + 1)])
     first = np.flatnonzero(cut)
     n = np.diff(np.append(first, len(place)))
-    return list(zip(place[first].tolist(), n.tolist(), owner[first].tolist(), owner_place[first].tolist(), strict=True))
+    return list(zip(*(x.tolist() for x in (place[first], n, owner[first], owner_hash[first], owner_place[first])), strict=True))
 
 
 def _digest(words: list[bytes]) -> bytes:
     return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
 
 
+_PATHS = "doc_id long, text_hash long, start int, edges int, owner long, owner_hash long, owner_start int, digest binary"
+_PATH_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+_KEY = ["owner", "owner_hash", "owner_start", "edges", "digest"]
+
+
 def _paths(k: int):
     """The spans of each document with the digest of the words they cover."""
 
+    @lean
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text, r in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("repeats"), strict=True):
-                owner, place, owner_place = (np.concatenate(x) for x in zip(*map(_unpacked, r.as_py()), strict=True))
+            for doc_id, text_hash, text, r in zip(batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist(), batch.column("text"), batch.column("repeats"), strict=True):
+                owner, owner_hash, place, owner_place = (np.concatenate(x) for x in zip(*map(_unpacked, r.as_py()), strict=True))
                 words = text.as_buffer().to_pybytes().split()
-                for start, n, owner, begin in _spans(place, owner, owner_place):
-                    out.append((doc_id, start, n, owner, begin, _digest(words[start : start + n + k - 1])))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)],
-                ["doc_id", "start", "edges", "owner", "owner_start", "digest"],
-            )
+                for start, n, *at in _spans(place, owner, owner_hash, owner_place):
+                    out.append((doc_id, text_hash, start, n, *at, _digest(words[start : start + n + k - 1])))
+            columns = zip(*out, strict=True) if out else [[]] * len(_PATH_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _PATH_TYPES, strict=True)], [c.split()[0] for c in _PATHS.split(", ")])
 
     return walk
 
@@ -168,47 +209,63 @@ def _paths(k: int):
 def _verify(k: int):
     """Of the paths asked for at an owner, those whose words stand at the source coordinates."""
 
+    @lean
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for owner, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "asked")), strict=True):
-                words = (text or "").encode().split()
-                out += [(owner, a["owner_start"], a["edges"], a["digest"]) for a in asked if _digest(words[a["owner_start"] : a["owner_start"] + a["edges"] + k - 1]) == a["digest"]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)],
-                ["owner", "owner_start", "edges", "digest"],
-            )
+            for owner, owner_hash, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "text", "asked")), strict=True):
+                words = text.encode().split()
+                out += [
+                    (owner, owner_hash, a["owner_start"], a["edges"], a["digest"]) for a in asked
+                    if _digest(words[a["owner_start"] : a["owner_start"] + a["edges"] + k - 1]) == a["digest"]
+                ]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], _KEY)
 
     return look
 
 
-def repeated_spans(docs: DataFrame, k: int = K) -> DataFrame:
-    """Verified spans (doc_id, start, edges, owner, owner_start): words start .. start + edges + k - 2 repeat the owner's."""
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    repeats = repeated_edges(docs, k).groupBy("doc_id").agg(F.collect_list("repeats").alias("repeats"))
-    spans = docs.join(repeats, "doc_id").mapInArrow(
-        _paths(k), "doc_id long, start int, edges int, owner long, owner_start int, digest binary"
-    )
-    return spans
+def repeated_spans(docs: DataFrame, k: int = K, seed: int = 1, mask: int = 2**64 - 1) -> DataFrame:
+    """Spans (doc_id, text_hash, start, edges, owner, owner_hash, owner_start, digest): by their hashes, the words start .. start + edges + k - 2 repeat the owner's."""
+    # Written first, so that the shuffled windows are gone before the texts are shuffled.
+    found = staged(repeated_edges(docs, k, seed, mask), "repeats")
+    repeats = found.groupBy("doc_id", "text_hash").agg(F.collect_list("repeats").alias("repeats"))
+    return docs.join(repeats, ["doc_id", "text_hash"]).mapInArrow(_paths(k), _PATHS)
 
 
 def verified(docs: DataFrame, spans: DataFrame, k: int = K) -> DataFrame:
-    """The spans whose words the owner has at the coordinates they name."""
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    key = ["owner", "owner_start", "edges", "digest"]
-    asked = spans.select(*key).distinct().groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("owner_start", "edges", "digest")).alias("asked"))
-    held = docs.join(asked, "doc_id").mapInArrow(_verify(k), "owner long, owner_start int, edges int, digest binary")
-    return spans.join(held.distinct(), key, "left_semi")
+    """The keys of the spans whose words the owner has at the coordinates they name."""
+    named = [c for c in _KEY if c not in ("owner", "owner_hash")]
+    # A path that many documents hold counts once: partial sums first, no task sees all its rows.
+    asked = spans.groupBy(*_KEY).count().groupBy(F.col("owner").alias("doc_id"), F.col("owner_hash").alias("text_hash")).agg(F.collect_list(F.struct(*named)).alias("asked"))
+    return docs.join(asked, ["doc_id", "text_hash"]).mapInArrow(_verify(k), "owner long, owner_hash long, owner_start int, edges int, digest binary").distinct()
+
+
+def _checked_spans(docs: DataFrame, k: int, seed: int, mask: int) -> tuple[DataFrame, bool]:
+    """(doc_id, text_hash, start, edges) of verified spans, and whether some failed."""
+    spans = staged(repeated_spans(docs, k, seed, mask), "spans")
+    good = staged(verified(docs, spans, k), "verified")
+    failed = not spans.join(good, _KEY, "left_anti").isEmpty()
+    return spans.join(good, _KEY, "left_semi").select("doc_id", "text_hash", "start", "edges"), failed
+
+
+@frees_stages
+def _spans_by_document(docs: DataFrame, k: int, mask: int) -> DataFrame:
+    found, failed = _checked_spans(docs, k, 1, mask)
+    if failed:
+        found = found.union(_checked_spans(docs, k, 77, 2**64 - 1)[0]).distinct()
+    return found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
 
 
 _KEPT = "n_words long, n_removed long, kept_text string, kept_sha256 string"
 
 
-def _kept(k: int, with_text: bool, others: list[tuple[str, pa.DataType]]):
+def _kept(k: int, with_text: bool, others: list[str]):
+    @lean
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, texts, digests = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().split() if text.is_valid else []
                 n, kept = len(words), words
                 if spans:
@@ -223,30 +280,33 @@ def _kept(k: int, with_text: bool, others: list[tuple[str, pa.DataType]]):
                 if with_text:
                     texts.append((joined.decode() if n > len(kept) else text.as_py()))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c, _ in others), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts if with_text else [None] * len(n_words), pa.string()), pa.array(digests, pa.string())],
-                [*(c for c, _ in others), "n_words", "n_removed", "kept_text", "kept_sha256"],
+                [*(batch.column(c) for c in others), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts if with_text else [None] * len(n_words), pa.string()), pa.array(digests, pa.string())],
+                [*others, "n_words", "n_removed", "kept_text", "kept_sha256"],
             )
 
     return remove
 
 
-def remove_repeats(docs: DataFrame, k: int = K, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = K, with_text: bool = True, mask: int = 2**64 - 1) -> DataFrame:
     """docs' columns but text, with n_words, n_removed, kept_text and kept_sha256.
 
     A window is k consecutive words of one document; each word covered by a
     window that also starts in a document with a smaller doc_id goes. Windows are
     judged on the input. kept_text is the untouched text where nothing goes, else
     the kept words joined by one space. Null texts have no words and stay null;
-    a row without doc_id neither owns nor loses a window; rows that share a
-    doc_id count as one document's; an empty table gives an empty result. Columns
-    of docs that are named like a result column are replaced by it.
+    a row without doc_id neither owns nor loses a window. Rows that share a doc_id
+    are documents of their own, none of which comes before the other; an empty
+    table gives an empty result. Columns of docs that are named like a result are
+    replaced by it; other names can't clash. mask is for tests: it leaves of the
+    windows' first hashes only some bits.
     """
     arrow_rows(docs.sparkSession)
-    # The three joins on doc_id deal the same texts, so Spark shuffles them once.
-    spans = verified(docs, repeated_spans(docs, k), k)
-    spans = spans.groupBy(F.col("doc_id").alias("_span_doc")).agg(F.collect_list(F.struct("start", "edges")).alias("_spans"))
-    others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed", "kept_text", "kept_sha256")]
-    joined = docs.where("doc_id IS NOT NULL").join(spans, F.col("doc_id") == F.col("_span_doc"), "left")
-    joined = joined.select(*others, "text", "_spans").union(docs.where("doc_id IS NULL").select(*others, "text", F.lit(None).alias("_spans")))
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in others)
-    return joined.mapInArrow(_kept(k, with_text, [(c, None) for c in others]), f"{schema}, {_KEPT}")
+    text_hash = F.xxhash64("text").alias("text_hash")
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", text_hash, "text")
+    spans = _spans_by_document(known, k, mask)
+    results = ("n_words", "n_removed", "kept_text", "kept_sha256")
+    there, back = carried(docs, ("text", *results))
+    joined = docs.select(*there, "doc_id", text_hash, "text").join(spans, ["doc_id", "text_hash"], "left").drop("doc_id", "text_hash")
+    schema = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(f for f in docs.schema.fields if f.name not in ("text", *results)))
+    kept = joined.mapInArrow(_kept(k, with_text, [f"c{i}" for i in range(len(back))]), f"{schema}{_KEPT}")
+    return kept.select(*back, *results)
