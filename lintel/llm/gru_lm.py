@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.arraysum import SCHEMA, summed, to_blocks
-from lintel.llm.common import arrow_rows, staged, width_for
+from lintel.llm.common import arrow_rows, lean, staged, width_for
 from lintel.llm.debruijn import _numbers, _planes
 from lintel.llm.textkernel import U, Words, chunks, mix
 
@@ -61,6 +61,7 @@ def coded(words: Words) -> np.ndarray:
 def _pairs(parts: int):
     """Per chunk and part: hashes of each text's distinct words with their numbers of times."""
 
+    @lean
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in chunks(batch, most=2 << 20):
@@ -350,6 +351,7 @@ def _streams(batch: pa.RecordBatch, v: Vocabulary) -> tuple[np.ndarray, np.ndarr
 
 
 def _train(model):
+    @lean
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = model.value
         trainer, held, total = Trainer(w, v, RATE), [], 0
@@ -420,6 +422,7 @@ def score_documents(w: dict[str, np.ndarray], v: Vocabulary, tokens: np.ndarray,
 
 
 def _score(model):
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = model.value
         held: list[tuple] = []

@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training sums one count vector per language over all training texts; the matrix
-of log probabilities (languages x 65,536 buckets) is broadcast, and texts are
-scored by gathering the columns of their n-grams.
+of log probabilities (65,536 buckets x languages) is broadcast in blocks of
+languages, and texts are scored by gathering the rows of their n-grams.
 """
 
 from __future__ import annotations
@@ -11,18 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lintel.llm.arraysum import SCHEMA, summed, to_blocks
-from lintel.llm.common import arrow_rows
+from lintel.llm.common import arrow_rows, carried, lean
 from lintel.llm.textkernel import U, chunks
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-LANGUAGES = 512
+LANGUAGES = 128
 UNDETERMINED = "und"
-_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +50,7 @@ def grams(texts: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.n
 
 
 def _count(orders, buckets):
+    @lean
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -68,60 +68,95 @@ def _count(orders, buckets):
     return count
 
 
+class Block:
+    """Some languages' log probabilities, and the mean and deviation of a gram's in a language's own texts."""
+
+    def __init__(self, languages: list[str], n: np.ndarray, texts: float, smoothing: float) -> None:
+        self.languages = languages
+        self.prior = np.log(n[:, -1] / texts)
+        p = n[:, :-1] + smoothing
+        p /= p.sum(axis=1, keepdims=True)
+        logs = np.log(p)
+        self.mean = (p * logs).sum(axis=1)
+        self.deviation = np.sqrt(np.maximum((p * logs * logs).sum(axis=1) - self.mean**2, 1e-6))
+        self.logs = np.ascontiguousarray(logs.T.astype(np.float32))
+
+
 class Model:
+    """Blocks of at most `LANGUAGES` languages: each is broadcast by itself, so its size is bounded."""
+
     def __init__(self, counts: dict[str, np.ndarray], orders=ORDERS, smoothing: float = 0.5) -> None:
-        self.languages = sorted(counts)
-        if len(self.languages) > LANGUAGES:
-            raise ValueError(f"more than {LANGUAGES} languages")
-        self.orders, self.buckets = orders, BUCKETS
-        n = np.stack([counts[x] for x in self.languages]) if counts else np.zeros((0, BUCKETS + 1))
-        self.prior = np.log(n[:, -1] / n[:, -1].sum()) if counts else np.zeros(0)
-        grams_ = n[:, :-1] + smoothing
-        self.logs = np.ascontiguousarray(np.log(grams_ / grams_.sum(axis=1, keepdims=True)).T)
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        at, begins = grams([t or "" for t in texts], self.orders, self.buckets)
-        n = len(texts)
-        scores = np.zeros((n, len(self.languages)))
-        rows = np.repeat(np.arange(n), np.diff(begins))
-        for k in range(len(self.languages)):
-            scores[:, k] = np.bincount(rows, weights=self.logs[at, k], minlength=n) + self.prior[k]
-        known = np.array([bool(t and _LETTER.search(t)) for t in texts]) if self.languages else np.zeros(n, bool)
-        if not self.languages:
-            return [UNDETERMINED] * n, np.zeros(n)
-        best = scores.argmax(axis=1)
-        sure = 1 / np.exp(scores - scores[np.arange(n), best][:, None]).sum(axis=1)
-        return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)], np.where(known, sure, 0.0)
+        self.languages, self.orders = sorted(counts), orders
+        texts = sum(x[-1] for x in counts.values())
+        parts = [self.languages[i : i + LANGUAGES] for i in range(0, len(self.languages), LANGUAGES)]
+        self.blocks = [Block(some, np.stack([counts[x] for x in some]), texts, smoothing) for some in parts]
 
 
 def fit(docs: DataFrame, orders: tuple[int, ...] = ORDERS) -> Model:
-    """Learn from text and lang of docs; rows where either is null teach nothing."""
+    """Learn from text and lang of docs; rows where either is null teach nothing, rows that repeat teach again."""
     arrow_rows(docs.sparkSession)
     train = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
     return Model(summed(train.mapInArrow(_count(orders, BUCKETS), SCHEMA)), orders)
 
 
-def _predict(model):
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+_RESULTS = ("lang_pred", "score", "likeness")
+_STATE = "best string, top double, mass double, likeness double"
+
+
+def _scan(block, orders: tuple[int, ...], others: list[str]):
+    """The best language so far, its score, and the sum of all languages' probabilities relative to it."""
+
+    @lean
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = block.value
         for batch in batches:
             for piece in chunks(batch):
-                langs, scores = m.predict(piece.column("text").to_pylist())
-                columns = {c: piece.column(c) for c in piece.schema.names if c not in ("lang_pred", "score")}
-                yield pa.RecordBatch.from_pydict(columns | {"lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores)})
-
-    return predict
+                n = len(piece)
+                at, begins = grams([t or "" for t in piece.column("text").to_pylist()], orders, BUCKETS)
+                rows = np.repeat(np.arange(n), np.diff(begins))
+                sums = np.stack([np.bincount(rows, weights=b.logs[at, k], minlength=n) for k in range(len(b.languages))], axis=1)
+                scores = sums + b.prior
+                own = scores.argmax(axis=1)
+                top = scores[np.arange(n), own]
+                mass = np.exp(scores - top[:, None]).sum(axis=1)
+                likeness = (sums[np.arange(n), own] / np.maximum(np.diff(begins), 1) - b.mean[own]) / b.deviation[own]
+                best = np.array(b.languages, object)[own]
+                if "top" in piece.schema.names:
+                    top_before, mass_before, like_before = (piece.column(c).to_numpy() for c in ("top", "mass", "likeness"))
+                    best_before = np.array(piece.column("best").to_pylist(), object)
+                    higher = top > top_before
+                    most = np.maximum(top, top_before)
+                    mass = mass * np.exp(top - most) + mass_before * np.exp(top_before - most)
+                    best, likeness, top = np.where(higher, best, best_before), np.where(higher, likeness, like_before), most
+                columns = {c: piece.column(c) for c in (*others, "text")}
+                yield pa.RecordBatch.from_pydict(columns | {
+                    "best": pa.array(best, pa.string()), "top": pa.array(top), "mass": pa.array(mass), "likeness": pa.array(likeness)
+                })
+
+    return scan
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred, a learned language, and score, its posterior.
+    """docs with lang_pred, a learned language, score, its posterior, and likeness: by how many of a gram's
+    deviations the text's mean log probability differs from that of the language's own texts.
 
-    lang_pred is und with score 0 if the text is null or has no letter, or if
-    nothing was learned. Only the text decides. Columns of docs named like the
-    two results are replaced.
+    lang_pred is und with score 0 and likeness null if the text is null or has no
+    letter, or if nothing was learned. Only the text decides: rows that repeat get
+    the same. An empty table gives an empty result. Columns of docs named like the
+    results are replaced; other names can't clash.
     """
     arrow_rows(docs.sparkSession)
-    others = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    broadcast = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*(f.name for f in others)).mapInArrow(_predict(broadcast), f"{schema}, lang_pred string, score double")
+    there, back = carried(docs, _RESULTS)
+    fields = [f.dataType.simpleString() for f in docs.schema.fields if f.name not in _RESULTS]
+    others = [f"c{i}" for i in range(len(fields))]
+    schema = ", ".join([*(f"{c} {t}" for c, t in zip(others, fields, strict=True)), "text string", _STATE])
+    found = docs.select(*there, "text")
+    for block in model.blocks:
+        found = found.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), model.orders, others), schema)
+    if not model.blocks:
+        found = found.select("*", *(F.lit(None).cast(t).alias(c) for c, t in (x.split() for x in _STATE.split(", "))))
+    known = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.col("best").isNotNull()
+    return found.select(
+        *back, F.when(known, F.col("best")).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(known, 1 / F.col("mass")).otherwise(0.0).alias("score"), F.when(known, F.col("likeness")).alias("likeness"),
+    )

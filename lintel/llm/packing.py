@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lintel.llm.common import arrow_rows, staged
+from lintel.llm.common import arrow_rows, lean, staged
 
 CAPACITY = 2048
 END = 0
-CACHED_WORDS = 1_000_000
+CACHED_BYTES = 64 << 20
+_ENTRY = 160  # of two short byte strings in a dict
 _STOP = re.compile(rb"(?<=[a-z0-9])([.,])(?=[ \n]|\Z)")
 
 Pattern = tuple[tuple[int, int], ...]
@@ -46,13 +47,19 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        if self.size > CACHED_BYTES:
+            self.forget()
         new = list(set().union(*texts).difference(self.known))
         found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
         self.known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, found, strict=True))
+        self.size += sum(_ENTRY + len(w) + len(self.known[w]) for w in new)
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.size = 0
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -76,6 +83,7 @@ def _cut(path: str, capacity: int, end: int, with_ids: bool):
     last = array("I", [end]).tobytes()
     size = 4 * capacity
 
+    @lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, task = _word_ids(path), uuid4().int >> 65
         ranks: Counter[int] = Counter()
@@ -240,6 +248,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray,
 def _place(rows: np.ndarray, most: int):
     keys = rows[:, 0] * most + rows[:, 1]
 
+    @lean
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()

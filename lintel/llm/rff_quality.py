@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.arraysum import SCHEMA, summed, to_blocks
-from lintel.llm.common import arrow_rows, staged
+from lintel.llm.common import arrow_rows, lean, staged
 from lintel.llm.textkernel import U, Words, chunks, runs
 
 FEATURES = 256
@@ -85,6 +85,7 @@ def statistics(texts: pa.Array) -> np.ndarray:
     ], axis=1)
 
 
+@lean
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in chunks(batch, most=1 << 20):
@@ -139,6 +140,7 @@ class Model:
 
 
 def _equations(features):
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = features.value
         a, b = np.zeros((f.n + 1, f.n + 1)), np.zeros(f.n + 1)
@@ -153,6 +155,7 @@ def _equations(features):
 
 
 def _histogram(model):
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, ones, total = model.value, np.zeros(BINS), np.zeros(BINS)
         for batch in batches:
@@ -166,6 +169,7 @@ def _histogram(model):
 
 
 def _score(model):
+    @lean
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.value.score(_matrix(batch.column("x"))) if len(batch) else np.zeros(0)

@@ -20,10 +20,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lintel.llm.common import arrow_rows
+from lintel.llm.common import arrow_rows, lean
 
 MARK = "▁"
-CACHED_CHUNKS = 800_000
+CACHED_BYTES = 128 << 20
+_ENTRY = 160  # of two short strings in a dict
 
 
 class Encoder:
@@ -44,6 +45,7 @@ class Encoder:
         stop = re.escape(self.lone)
         self.cut = re.compile(f"{MARK}*[^{MARK}{stop}]+|{MARK}+" + (f"|[{stop}]" if stop else ""))
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
     def merge(self, chunk: str) -> list[int]:
         """The ids of a chunk, by the agenda."""
@@ -99,8 +101,9 @@ class Encoder:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > CACHED_CHUNKS:
+        if self.size > CACHED_BYTES:
             self.known.clear()
+            self.size = 0
         new = list(set().union(*texts).difference(self.known))
         ids = [self.merge(c) for c in new]
         # A chunk with a mark in front is a text of its own, as the library puts one mark there.
@@ -109,6 +112,7 @@ class Encoder:
             if text and mine != theirs:
                 raise ValueError(f"the library encodes {text!r} as {theirs}, the agenda as {mine}")
         self.known.update((c, ",".join(map(str, i)).encode()) for c, i in zip(new, ids, strict=True))
+        self.size += sum(_ENTRY + 2 * len(c) + len(self.known[c]) for c in new)
 
 
 @lru_cache(maxsize=4)
@@ -117,6 +121,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _encode(path: str, check: bool, with_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
         for batch in batches:
@@ -146,8 +151,10 @@ def encode(docs: DataFrame, model_path: str, check: bool = False, with_ids: bool
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if with_ids, ids of every row.
 
     ids equal the sentencepiece library's without begin and end ids; the decoded
-    text is the library's decode(ids). A null text is empty. check also compares
-    every whole document of a batch with the library. Other columns are ignored.
+    text is the library's decode(ids). A null text is empty. Rows without doc_id
+    and rows that repeat are encoded like any other; an empty table gives an empty
+    result. check also compares every whole document of a batch with the library.
+    Other columns are ignored.
     """
     arrow_rows(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(
