@@ -51,7 +51,7 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _edges(k: int, parts: int, seed: int, mask: int):
+def _edges(k: int, parts: int, seed: int, mask: int, only=None):
     """Per chunk of documents and part: the edges' hashes, their places and the chunk's documents."""
 
     @lean
@@ -60,10 +60,15 @@ def _edges(k: int, parts: int, seed: int, mask: int):
             for piece in chunks(batch, most=CHUNK):
                 words = Words(piece.column("text"))
                 docs = words.doc_of()
-                edges, at = runs(words.hashes(), docs, k, seed)
+                hashes = words.hashes()
+                edges, at = runs(hashes, docs, k, seed)
+                if only is not None:
+                    some = np.isin(runs(hashes, docs, k)[0] & U(mask), only.value)
+                    edges, at = edges[some], at[some]
+                else:
+                    edges &= U(mask)
                 if not len(edges):
                     continue
-                edges &= U(mask)
                 part = (edges % U(parts)).astype(np.uint32)
                 order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
                 cuts = np.searchsorted(part[order], np.arange(parts + 1))
@@ -147,14 +152,14 @@ def _parts(docs: DataFrame) -> int:
     return LOW * max(1, min(size, 1 << 50) // (LOW * PART_BYTES))
 
 
-def repeated_edges(docs: DataFrame, k: int = K, seed: int = 1, mask: int = 2**64 - 1) -> DataFrame:
+def repeated_edges(docs: DataFrame, k: int = K, seed: int = 1, mask: int = 2**64 - 1, only=None) -> DataFrame:
     """(doc_id, text_hash, repeats): the windows of docs (doc_id, text_hash, text) that an earlier document holds too, a row for each document and part.
 
     repeats holds the number of owners, their ids and hashes (64 bits), how many
     windows each has (32 bits), and the windows' places and owners' places (32 bits).
     """
     parts = _parts(docs)
-    dealt = docs.mapInArrow(_edges(k, parts, seed, mask), "part int, ids binary, sizes binary, places binary, edges binary")
+    dealt = docs.mapInArrow(_edges(k, parts, seed, mask, only), "part int, ids binary, sizes binary, places binary, edges binary")
     return dealt.groupBy("part").applyInArrow(_owners, _REPEATS)
 
 
@@ -225,10 +230,10 @@ def _verify(k: int):
     return look
 
 
-def repeated_spans(docs: DataFrame, k: int = K, seed: int = 1, mask: int = 2**64 - 1) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = K, seed: int = 1, mask: int = 2**64 - 1, only=None) -> DataFrame:
     """Spans (doc_id, text_hash, start, edges, owner, owner_hash, owner_start, digest): by their hashes, the words start .. start + edges + k - 2 repeat the owner's."""
     # Written first, so that the shuffled windows are gone before the texts are shuffled.
-    found = staged(repeated_edges(docs, k, seed, mask), "repeats")
+    found = staged(repeated_edges(docs, k, seed, mask, only), "repeats")
     repeats = found.groupBy("doc_id", "text_hash").agg(F.collect_list("repeats").alias("repeats"))
     return docs.join(repeats, ["doc_id", "text_hash"]).mapInArrow(_paths(k), _PATHS)
 
@@ -241,20 +246,47 @@ def verified(docs: DataFrame, spans: DataFrame, k: int = K) -> DataFrame:
     return docs.join(asked, ["doc_id", "text_hash"]).mapInArrow(_verify(k), "owner long, owner_hash long, owner_start int, edges int, digest binary").distinct()
 
 
-def _checked_spans(docs: DataFrame, k: int, seed: int, mask: int) -> tuple[DataFrame, bool]:
-    """(doc_id, text_hash, start, edges) of verified spans, and whether some failed."""
-    spans = staged(repeated_spans(docs, k, seed, mask), "spans")
-    good = staged(verified(docs, spans, k), "verified")
-    failed = not spans.join(good, _KEY, "left_anti").isEmpty()
-    return spans.join(good, _KEY, "left_semi").select("doc_id", "text_hash", "start", "edges"), failed
+RETRIED = 1 << 20
+
+
+def _window_hashes(k: int, mask: int):
+    """First hashes of the windows of the spans (start, edges) of each text."""
+
+    @lean
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for piece in (batch.slice(i, 1) for i in range(len(batch))):
+                words = Words(piece.column("text"))
+                hashes, _ = runs(words.hashes(), words.doc_of(), k)
+                out += [hashes[s["start"] : s["start"] + s["edges"]] & U(mask) for s in piece.column("failed")[0].as_py()]
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(np.unique(np.concatenate(out)).view(np.int64)) if out else pa.array([], pa.int64())})
+
+    return find
 
 
 @frees_stages
 def _spans_by_document(docs: DataFrame, k: int, mask: int) -> DataFrame:
-    found, failed = _checked_spans(docs, k, 1, mask)
-    if failed:
-        found = found.union(_checked_spans(docs, k, 77, 2**64 - 1)[0]).distinct()
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
+    """(doc_id, text_hash, spans) of verified spans (start, edges).
+
+    Where a path fails, windows with different words share a hash: all windows of
+    such hashes are dealt again by other ones. Up to `RETRIED` hashes are told to
+    the tasks; with more, every window is dealt again.
+    """
+    row = ["doc_id", "text_hash"]
+    spans = staged(repeated_spans(docs, k, 1, mask), "spans")
+    good = staged(verified(docs, spans, k), "verified")
+    found = spans.join(good, _KEY, "left_semi").select(*row, "start", "edges")
+    failed = staged(spans.join(good, _KEY, "left_anti").groupBy(*row).agg(F.collect_list(F.struct("start", "edges")).alias("failed")), "failed")
+    if not failed.isEmpty():
+        hashes = staged(docs.join(failed, row).mapInArrow(_window_hashes(k, mask), "hash long").distinct(), "hashes")
+        only = None
+        if hashes.count() <= RETRIED:
+            only = docs.sparkSession.sparkContext.broadcast(np.array([r["hash"] for r in hashes.collect()], np.int64).view(np.uint64))
+        again = staged(repeated_spans(docs, k, 77, mask if only else 2**64 - 1, only), "spans_again")
+        good = staged(verified(docs, again, k), "verified_again")
+        found = found.union(again.join(good, _KEY, "left_semi").select(*row, "start", "edges"))
+    return found.groupBy(*row).agg(F.collect_list(F.struct("start", "edges")).alias("spans"))
 
 
 _KEPT = "n_words long, n_removed long, kept_text string, kept_sha256 string"

@@ -141,6 +141,19 @@ def test_lines_with_scattered_edits_meet():
         assert not some or met[some].mean() >= 0.98, n
 
 
+def test_bit_maps_rule_out_no_similar_pair():
+    rng = random.Random(3)
+    a = ["".join(rng.choice("abcdef ") for _ in range(rng.choice([3, 9, 40, 300, 3000]))) for _ in range(400)]
+    b = ["".join(rng.choice("xyz") if rng.random() < 0.03 else c for c in x) + x[: rng.randint(0, len(x) // 6)] for x in a]
+    grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)} or {x}
+    exact = np.array([len(grams(x) & grams(y)) >= 0.8 * len(grams(x) | grams(y)) for x, y in zip(a, b, strict=True)])
+    (n_a, bits_a), (n_b, bits_b) = line_dedup.sketches(a), line_dedup.sketches(b)
+    assert n_a.tolist() == [len(grams(x)) for x in a]
+    ok = line_dedup.possible(n_a, bits_a, n_b, bits_b, 0.8)
+    assert not (exact & ~ok).any() and 50 < exact.sum() < 350 and (ok & ~exact).sum() < 100
+    assert (line_dedup.similar(a, b) == exact).all()
+
+
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 24))
