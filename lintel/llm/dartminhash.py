@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.common import arrow_rows, blobs, carried, flat, frees_stages, lean, staged
-from lintel.llm.graph import buckets, classes_of
+from lintel.llm.common import arrow_rows, blobs, carried, frees_stages, lean, staged
+from lintel.llm.graph import bit_maps, buckets, classes_of
 from lintel.llm.textkernel import U, Words, chunks, mix, runs
 
 SHINGLE = 5
@@ -152,10 +152,13 @@ def _sets(k: int):
             for piece in chunks(batch):
                 doc, found, count = elements(Words(piece.column("text")), k)
                 cuts = np.searchsorted(doc, np.arange(len(piece) + 1))
+                # An element for each time that a run counts.
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                every = mix(np.repeat(found, count) + nth.astype(U))
+                n = np.bincount(doc, weights=count, minlength=len(piece)).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({
-                    "id": piece.column("id"),
-                    "items": pa.array([found[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-                    "counts": pa.array([count[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+                    "id": piece.column("id"), "items": blobs(found, cuts), "counts": blobs(count.astype(np.uint32), cuts),
+                    "n": pa.array(n.astype(np.int32)), "bits": pa.array(bit_maps(np.repeat(doc, count), every, n), pa.binary()),
                 })
 
     return collect
@@ -180,24 +183,11 @@ def _similar(threshold: float):
     return check
 
 
-@lean
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, elements): an element for each time that an item of a set counts, as a blob."""
-    for batch in batches:
-        items, n = flat(batch.column("items"), U)
-        counts, _ = flat(batch.column("counts"), np.uint32)
-        counts = counts.astype(np.int64)
-        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        found = mix(np.repeat(items, counts) + nth.astype(U))
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.concatenate([[0], np.cumsum(n)])]
-        yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "elements": blobs(found, ends)})
-
-
 def verifier(
     docs: DataFrame, texts: DataFrame, k: int, threshold: float
 ) -> tuple[Callable[[DataFrame], DataFrame], Callable[[DataFrame], DataFrame]]:
     """A function that keeps the pairs (a, b) of ids whose weighted Jaccard similarity reaches the threshold,
-    and one that gives the elements of ids. texts (id, doc_id, text_hash) says where in docs the text of an id
+    and one that gives the sizes and bit maps of ids. texts (id, doc_id, text_hash) says where in docs the text of an id
     stands. The sets of the first call's ids serve the later calls."""
     held: list[DataFrame] = []
 
@@ -207,16 +197,16 @@ def verifier(
             # The wanted rows grow with the input, so they are never broadcast.
             wanted = texts.select("id", "doc_id", "text_hash").join(ids.hint("merge"), "id").hint("merge")
             found = docs.join(wanted, ["doc_id", "text_hash"]).dropDuplicates(["id"]) if _repeat(docs) else docs.join(wanted, ["doc_id", "text_hash"])
-            held.append(staged(found.select("id", "text").mapInArrow(_sets(k), "id long, items binary, counts binary"), "sets"))
+            held.append(staged(found.select("id", "text").mapInArrow(_sets(k), "id long, items binary, counts binary, n int, bits binary"), "sets"))
         for side in "ab":
             sets = held[0].select(F.col("id").alias(side), F.col("items").alias(f"items_{side}"), F.col("counts").alias(f"counts_{side}"))
             pairs = pairs.join(sets, side)
         return pairs.mapInArrow(_similar(threshold), "a long, b long")
 
-    def elements(ids: DataFrame) -> DataFrame:
-        return held[0].join(ids.distinct(), "id", "left_semi").mapInArrow(_arrays, "id long, elements binary")
+    def bits(ids: DataFrame) -> DataFrame:
+        return held[0].select("id", "n", "bits").join(ids, "id")
 
-    return verify, elements
+    return verify, bits
 
 
 def _repeat(docs: DataFrame) -> bool:

@@ -10,7 +10,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lintel.llm.arraysum import SCHEMA, summed, to_blocks
 from lintel.llm.common import blobs, flat, frees_stages, lean, staged
 from lintel.llm.textkernel import U, mix
 
@@ -52,7 +51,6 @@ def components(edges: DataFrame) -> DataFrame:
 
 # Buckets
 
-SMALL = 16
 ENTRIES = 1 << 19  # of a part, on average; also those a task holds before it deals them
 
 
@@ -137,23 +135,89 @@ def buckets(sketches: DataFrame) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(_gather, "key long, id long")
 
 
+# Bit maps of sets
+
+BITS = 1 << 14
+
+
+def bit_maps(row: np.ndarray, hashes: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Of sets given as (row, hash) of their elements: a bit map each, of about four bits an element and a power of two."""
+    size = np.minimum(1 << np.ceil(np.log2(np.maximum(4 * n, 64))).astype(np.int64), BITS)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    bits = np.zeros(begin[-1], bool)
+    bits[begin[row] + ((hashes & U(BITS - 1)).astype(np.int64) & (size[row] - 1))] = True
+    packed = np.packbits(bits, bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+
+
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    """Bit maps as rows of bytes; longer ones fold onto themselves."""
+    return np.bitwise_or.reduce(x.reshape(len(x), -1, size), axis=1)
+
+
+def may_reach(n_a, x: np.ndarray, n_b, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which pairs of sets may reach the Jaccard threshold, by sizes and bit maps as rows of bytes: each bit that
+    only one set has is an element that the other lacks."""
+    size = min(x.shape[1], y.shape[1])
+    x, y = _folded(x, size), _folded(y, size)
+    least = threshold / (1 + threshold) * (n_a + n_b) - 1e-9
+    only_a, only_b = (np.bitwise_count(p & ~q).sum(axis=1, dtype=np.int64) for p, q in ((x, y), (y, x)))
+    return (n_a - only_a >= least) & (n_b - only_b >= least) & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b) - 1e-9)
+
+
 # Links inside buckets
 
+BLOCK = 8192
+
+
+def _candidates(threshold: float):
+    """Pairs of different components in a bucket that may be similar: of the rows outside the bucket's main component with all others."""
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key").combine_chunks()
+        key, ids, component, main, side, n = (table[c].to_numpy() for c in ("key", "id", "component", "main", "side", "n"))
+        bits = table["bits"].to_pylist()
+        crossed = table["i"][0].as_py() != table["j"][0].as_py()
+        sizes = np.fromiter(map(len, bits), np.int64, len(bits))
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        found = []
+        for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
+            rest = np.flatnonzero(component[a:b] != main[a:b]) + a
+            if not len(rest):
+                continue
+            at = [a + np.flatnonzero(sizes[a:b] == s) for s in np.unique(sizes[a:b])]
+            maps = [np.frombuffer(b"".join([bits[i] for i in rows]), np.uint8).reshape(len(rows), -1) for rows in at]
+            for r in rest.tolist():
+                own = np.frombuffer(bits[r], np.uint8)[None, :]
+                for rows, m in zip(at, maps, strict=True):
+                    some = (component[rows] != component[r]) & ((component[rows] == main[r]) | (rows > r))
+                    if crossed:
+                        some &= side[rows] != side[r]
+                    some = np.flatnonzero(some)
+                    if len(some):
+                        ok = may_reach(n[r], own, n[rows[some]], m[some], threshold)
+                        others = ids[rows[some[ok]]]
+                        found.append(np.stack([np.maximum(others, ids[r]), np.minimum(others, ids[r])], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return find
+
 
 @frees_stages
 def classes_of(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], threshold: float
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame], threshold: float
 ) -> DataFrame:
     """(node, component) over the links that verify(pairs) confirms among ids that share a key in shared (key, id).
 
     Rows of a bucket meet its leader, not each other: the row that meets most
     others over all buckets, which in a group of copies with differing edits is
-    the one they come from. Of small buckets the other pairs meet too. Larger ones
-    that hold several components after that are searched exactly: elements(ids)
-    gives their sets, and rows of different components meet if they share one of
-    their rarest elements early enough. So no link between components of a bucket is missed
-    and no crowded bucket is paired out. pairs and links are (a, b) with a > b;
-    the first pairs name every id that a later pair can name.
+    the one they come from. Where a bucket holds several components after that,
+    the rows outside its largest one are held against all others of the bucket by
+    bit maps, sketches(ids) = (id, n, bits), and those pairs that may be similar
+    are verified. So no link inside a bucket is missed, and no bucket is paired
+    out. pairs and links are (a, b) with a > b; the first pairs name every id that
+    a later pair can name.
     """
     sizes = shared.groupBy("key").count()
     ranked = staged(shared.join(sizes, "key"), "ranked")
@@ -165,92 +229,21 @@ def classes_of(
     links = staged(verify(staged(pairs, "pairs")), "links")
     found = components(links)
     held = members.where("count > 2").join(found, members["id"] == found["node"], "left")
-    held = staged(held.select("key", "id", "count", "leader", F.coalesce("component", "id").alias("component")), "held")
-    few = held.where(f"count <= {SMALL} AND id <> leader")
-    few = few.select("key", F.col("id").alias("a"), F.col("component").alias("component_a")).join(
-        few.select("key", F.col("id").alias("b"), F.col("component").alias("component_b")), "key"
-    )
-    few = few.where("a > b AND component_a <> component_b").select("a", "b").distinct()
-    crowded = held.where(f"count > {SMALL}")
-    mixed = crowded.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    mixed = staged(crowded.join(mixed, "key", "left_semi").select("id", "component").distinct(), "mixed")
-    pairs = few if mixed.isEmpty() else few.union(_close_pairs(mixed, elements, threshold))
-    late = staged(verify(staged(pairs.distinct(), "late_pairs")), "late")
+    held = staged(held.select("key", "id", F.coalesce("component", "id").alias("component")), "held")
+    parts_of = held.groupBy("key", "component").count().groupBy("key")
+    mixed = parts_of.agg(F.sum("count").alias("m"), F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n"))
+    mixed = mixed.where("n > 1").select("key", "main", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    rows = staged(held.join(mixed, "key"), "mixed")
+    if rows.isEmpty():
+        return found
+    parts = max(16, rows.count() // BLOCK)
+    part = F.when(F.col("blocks") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(parts)))
+    rows = rows.join(sketches(rows.select("id").distinct()), "id")
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(
+        "key", "id", "component", "main", "side", "n", "bits", part.alias("part"), (F.col("blocks") > 1).alias("large"),
+        F.least("side", "to").alias("i"), F.greatest("side", "to").alias("j"),
+    )
+    pairs = rows.groupBy("part", "large", "i", "j").applyInArrow(_candidates(threshold), "a long, b long").distinct()
+    late = staged(verify(staged(pairs, "late_pairs")), "late")
     return found if late.isEmpty() else components(links.union(late))
-
-
-# Exact search by rarest elements
-
-RARITY = 1 << 20
-
-
-@lean
-def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(RARITY)
-    for batch in batches:
-        total += np.bincount(_spot(flat(batch.column("elements"), np.int64)[0], RARITY), minlength=RARITY)
-    yield to_blocks({"n": total} if total.any() else {})
-
-
-def _prefixes(parts: int, threshold: float, often):
-    """Of each set the rarest elements, by part: so many that two sets of at least the similarity share one."""
-
-    @lean
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = often.value
-        for batch in batches:
-            values, n = flat(batch.column("elements"), np.int64)
-            count = counts[_spot(values, RARITY)]
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((values, count, row))
-            place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-            most = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
-            some = (place < most[row]) & (count[order] > 1)
-            at, row = order[some], row[some]
-            columns = [values[at], *(batch.column(c).to_numpy()[row] for c in ("id", "component")), (place[some] + 1).astype(np.int32), n[row].astype(np.int32)]
-            if len(at):
-                yield _dealt(_spot(values[at], parts), columns, 0)
-
-    return deal
-
-
-def _between(table: pa.Table) -> pa.Table:
-    """The entries of a part's elements that several components have."""
-    rows = [[flat(b.column(f"c{i}"), t)[0] for i, t in enumerate((np.int64, np.int64, np.int64, np.int32, np.int32))] for b in table.to_batches(max_chunksize=256)]
-    key, id_, component, place, size = map(np.concatenate, zip(*rows, strict=True))
-    order = np.lexsort((component, key))
-    key, id_, component, place, size = (x[order] for x in (key, id_, component, place, size))
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    last = np.append(first[1:], len(key)) - 1
-    some = np.repeat(component[first] != component[last], last - first + 1)
-    return pa.table({"key": key[some], "id": id_[some], "component": component[some], "place": place[some], "size": size[some]})
-
-
-def prefix_entries(sets: DataFrame, threshold: float) -> DataFrame:
-    """(key, id, component, place, size): the elements among the rarest of sets (id, component, elements) that several components share.
-
-    place counts from the rarest on. Any one order of elements serves; rarity is
-    counted in `RARITY` buckets of hashes, a table of fixed size.
-    """
-    spark = sets.sparkSession
-    often = summed(sets.select("elements").mapInArrow(_rarity, SCHEMA)).get("n", np.zeros(RARITY))
-    total = int(often.sum())
-    parts = max(16, total // ENTRIES)
-    columns = "part long, flags int, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
-    dealt = sets.select("id", "component", "elements").mapInArrow(_prefixes(parts, threshold, spark.sparkContext.broadcast(often)), columns)
-    return dealt.groupBy("part").applyInArrow(_between, "key long, id long, component long, place int, size int")
-
-
-def _close_pairs(mixed: DataFrame, elements: Callable[[DataFrame], DataFrame], threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components of mixed (id, component) that may reach the threshold; of each
-    element, the component with most entries only meets the rest."""
-    sets = staged(elements(mixed.select("id")).join(mixed, "id"), "sets_of_mixed")
-    close = staged(prefix_entries(sets, threshold), "close")
-    main = close.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    rest = close.join(main, "key").where("component <> main")
-    # At the first element that two sets share, what follows in either must do for the rest that they have to share.
-    least = F.ceil((F.col("size_a") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-9)
-    enough = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b")) + 1 >= least
-    side = lambda rows, s: rows.select("key", F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("component", "place", "size")))
-    pairs = side(rest, "a").join(side(close, "b"), "key").where((F.col("component_a") != F.col("component_b")) & enough)
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

@@ -24,7 +24,8 @@ from lintel.llm.common import WHITE, staged
 WORD = f"[^{WHITE}]"
 SYMBOLS = "#*$%&|<>"
 H = 0.75
-STEPS = 3
+STEPS = 12  # at most; a step that moves the log determinants by less than SETTLED a group is the last
+SETTLED = 1e-3
 LEAST = 100
 #: The quantile of chi square with 5 degrees of freedom at 0.999.
 CUTOFF = 20.515
@@ -130,7 +131,7 @@ def _grouped(rows: DataFrame, fitted: Column) -> DataFrame:
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, STATISTICS, base_failed, kept and distance of every row.
+    """doc_id, STATISTICS, base_failed, kept and distance of every row; rows that repeat each count and get the same.
 
     base_failed: fewer than 50 words, or more than half of them in repeated
     three-word windows. Such rows teach nothing. kept: not base_failed and a
@@ -161,12 +162,19 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     first = F.array(sum(scaled[1:], scaled[0]), F.greatest(*scaled))
     rated = starts.select("group", *vector, F.posexplode(first).alias("start", "d"))
 
-    def near(rated: DataFrame) -> DataFrame:
-        cut = rated.groupBy(*key).agg(F.percentile_approx("d", F.lit(H), F.lit(1000)).alias("h"))
+    def near(rated: DataFrame, step: int) -> DataFrame:
+        # Written, so that the planner knows its size: small, it is broadcast and no group's rows are gathered.
+        cut = staged(rated.groupBy(*key).agg(F.percentile_approx("d", F.lit(H), F.lit(1000)).alias("h")), f"cut{step}")
         return rated.join(cut, key)
 
+    before: dict = {}
     for step in range(STEPS):
-        estimates = staged(_estimates(near(rated).where("d <= h"), key), f"estimates{step}")
+        estimates = staged(_estimates(near(rated, step).where("d <= h"), key), f"estimates{step}")
+        # A step never raises a determinant but for the sketches' error; below that error it has converged.
+        moved = estimates.agg(F.sum("logdet"), F.count("*")).first()
+        if before.get("n") == moved[1] and abs(before["sum"] - moved[0]) <= SETTLED * moved[1]:
+            break
+        before = {"sum": moved[0] or 0.0, "n": moved[1]}
         rated = pool.join(estimates, "group").select("group", "start", *vector, _distance().alias("d"))
     best = estimates.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("best"))
     final = estimates.join(best, "group").where("start = best")
