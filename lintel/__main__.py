@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
 from lintel.operators import investigate, reports
 from lintel.plans import engine
+from lintel.sources.shared import written
 
 
 def arguments() -> argparse.Namespace:
@@ -32,9 +33,9 @@ def main() -> int:
     if spark.sparkContext.master.startswith("local"):
         spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     found = engine.scan_directory(spark, a.target, enabled=tuple(a.rules) if a.rules else None, with_flows=not a.no_flows)
-    found = found.where(F.col("confidence") >= a.min_confidence).cache()
+    found = written(found.where(F.col("confidence") >= a.min_confidence), "findings")
     investigate.console(found)
-    shown = engine.numbered(found).select("ord", "cwe", F.col("type").alias("name"), "severity", "file", F.col("lineno").alias("line"), F.col("explanation").alias("why"))
+    shown = found.withColumn("ord", F.row_number().over(Window.orderBy("file", "lineno", "matcher_id", "type", "function"))).select("ord", "cwe", F.col("type").alias("name"), "severity", "file", F.col("lineno").alias("line"), F.col("explanation").alias("why"))
     if a.json:
         Path(a.json).write_text(reports.document(found.select("file", "lineno", "type", "cwe", "severity", "confidence", "explanation"), {"target": a.target}).first()["document"])
     if a.sarif:

@@ -37,15 +37,15 @@ BROWSER_MARKS = (
 )
 XXE_GUARDS = "libxml_disable_entity_loader|libxml_nonet|php_version_id < 80000|php_version_id < 8|defusedxml|feature_secure_processing"
 
-# What a repaired piece of code shows, by a part of the type.
+# What a repaired piece of code shows, by a part of the type: the forms that the rewrites of `fixers` leave.
 MITIGATIONS = (
-    ("os command injection", "_lb_safe_cmd_arg"),
-    ("code injection", "_lb_safe_eval|_lb_no_exec|blocked dynamic code execution"),
-    ("use of eval", "_lb_safe_eval|_lb_no_exec|blocked dynamic code execution"),
-    ("eval injection", "_lb_safe_eval|_lb_no_exec"),
-    ("insecure deserialization", r"_lb_safe_loads|_lb_safe_load\b|_LBRestrictedUnpickler|RestrictedUnpickler"),
-    ("path traversal", "_lb_safe_path|_lb_base"),
-    ("randomness", "_lb_secure_rng"),
+    ("os command injection", r"shlex\.quote\(|escapeshellarg\("),
+    ("code injection", r"ast\.literal_eval\("),
+    ("use of eval", r"ast\.literal_eval\("),
+    ("eval injection", r"ast\.literal_eval\("),
+    ("insecure deserialization", r"RestrictedUnpickler|yaml\.safe_load\("),
+    ("path traversal", r"os\.path\.basename\(|secure_filename\("),
+    ("randomness", r"secrets\.token_|SystemRandom\("),
     ("xss", r"\|\s*e\s*\}\}"),
     ("cross-site scripting", r"\|\s*e\s*\}\}"),
     ("template", r"\|\s*e\s*\}\}"),

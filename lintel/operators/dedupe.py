@@ -57,8 +57,9 @@ def fold_same_line(findings: DataFrame, name: str = "type") -> DataFrame:
         return F.when(F.size(meets) == 0, F.concat(kept, F.array(x))).when(x["confidence"] > first["confidence"], stronger).otherwise(kept)
 
     items = F.transform("items", lambda x: F.struct(x["ord"].cast("bigint").alias("ord"), x["confidence"].cast("double").alias("confidence"), x["words"].alias("words")))
-    stay = at_line.select(F.explode(F.aggregate(items, F.array().cast(kept_type), step)).alias("e")).select(F.col("e.ord").alias("_ord"))
-    return findings.join(stay, findings["ord"] == stay["_ord"], "left").where("_ord IS NOT NULL OR lineno <= 0 OR lineno IS NULL").drop("_ord")
+    stay = at_line.select("file", F.explode(F.aggregate(items, F.array().cast(kept_type), step)).alias("e")).select(F.col("file").alias("_file"), F.col("e.ord").alias("_ord"))
+    same = (findings["file"] == stay["_file"]) & (findings["ord"] == stay["_ord"])
+    return findings.join(stay, same, "left").where("_ord IS NOT NULL OR lineno <= 0 OR lineno IS NULL").drop("_file", "_ord")
 
 
 def near(left: DataFrame, right: DataFrame, by: list[str], window: int, same: Column | None = None) -> DataFrame:
@@ -73,18 +74,24 @@ def merge_flows(findings: DataFrame, flows: DataFrame, window: int = 6) -> tuple
     """Data-flow rows against matcher rows: (findings upgraded where a flow overlaps, flows that are new).
 
     A flow overlaps the first finding of its type and file that is in its
-    function or within `window` lines.
+    function or within `window` lines. ord is one within a file. Two equi joins find
+    it, on the function and on each line of the window, with findings reduced to
+    the first of each beforehand: a file with many of both costs their sum, not
+    their product.
     """
-    pairs = near(flows, findings, ["type", "file"], window, F.col("l.function") == F.col("r.function"))
-    first = pairs.groupBy(F.col("l.ord").alias("flow")).agg(F.min("r.ord").alias("hit"), F.max("l.confidence").alias("c"))
-    best = first.groupBy("hit").agg(F.max("c").alias("c"))
+    firsts = lambda c: findings.groupBy("type", "file", c).agg(F.min("ord").alias("hit"))
+    flow = flows.select("type", "file", "function", "lineno", "confidence", F.col("ord").alias("flow"))
+    around = flow.drop("function").withColumn("lineno", F.explode(F.sequence(F.col("lineno") - window, F.col("lineno") + window)))
+    pairs = [x.select("file", "flow", "confidence", "hit") for x in (flow.drop("lineno").join(firsts("function"), ["type", "file", "function"]), around.join(firsts("lineno"), ["type", "file", "lineno"]))]
+    first = pairs[0].union(pairs[1]).groupBy("file", "flow").agg(F.min("hit").alias("hit"), F.max("confidence").alias("c"))
+    best = first.groupBy(F.col("file").alias("_file"), "hit").agg(F.max("c").alias("c"))
     upgraded = (
-        findings.join(best, findings["ord"] == best["hit"], "left")
+        findings.join(best, (findings["file"] == best["_file"]) & (findings["ord"] == best["hit"]), "left")
         .withColumn("confidence", F.when(F.col("hit").isNotNull(), F.greatest("confidence", "c")).otherwise(F.col("confidence")))
         .withColumn("detection_method", F.when(F.col("hit").isNotNull(), "taint-dataflow").otherwise(F.col("detection_method")))
-        .drop("hit", "c")
+        .drop("_file", "hit", "c")
     )
-    fresh = flows.join(first, flows["ord"] == first["flow"], "left_anti")
+    fresh = flows.join(first, (flows["file"] == first["file"]) & (flows["ord"] == first["flow"]), "left_anti")
     return upgraded, keep_first(fresh, ["type", "file", "function", "lineno"], [F.asc("ord")])
 
 
@@ -93,15 +100,15 @@ def merge_rules(findings: DataFrame, results: DataFrame, window: int = 3) -> tup
     number = lambda c: F.regexp_extract(F.coalesce(c, F.lit("")), r"(\d+)", 1)
     alike = (number(F.col("l.cwe")) == number(F.col("r.cwe"))) | (number(F.col("l.cwe")) == "") | (number(F.col("r.cwe")) == "")
     pairs = near(results, findings, ["file"], window).where(alike)
-    first = pairs.groupBy(F.col("l.ord").alias("res")).agg(F.min("r.ord").alias("hit"))
-    hit = first.select("hit").distinct()
+    first = pairs.groupBy(F.col("l.file").alias("_file"), F.col("l.ord").alias("res")).agg(F.min("r.ord").alias("hit"))
+    hit = first.select("_file", "hit").distinct()
     raised = (
-        findings.join(hit, findings["ord"] == hit["hit"], "left")
+        findings.join(hit, (findings["file"] == hit["_file"]) & (findings["ord"] == hit["hit"]), "left")
         .withColumn("confidence", F.when(F.col("hit").isNotNull(), F.greatest("confidence", F.lit(0.9))).otherwise(F.col("confidence")))
         .withColumn("detection_method", F.when(F.col("hit").isNotNull() & ~F.contains("detection_method", F.lit("rules")), F.concat("detection_method", F.lit(" + rules"))).otherwise(F.col("detection_method")))
-        .drop("hit")
+        .drop("_file", "hit")
     )
-    return raised, results.join(first, results["ord"] == first["res"], "left_anti")
+    return raised, results.join(first, (results["file"] == first["_file"]) & (results["ord"] == first["res"]), "left_anti")
 
 
 def new_claims(claims: DataFrame, existing: DataFrame, window: int = 3) -> DataFrame:

@@ -1,41 +1,31 @@
-"""Reachability over call graphs: a semi-naive fixpoint of joins."""
+"""Reachability over call graphs: a fixpoint of joins that doubles its steps."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROUNDS = 64
-
+from lintel.sources.shared import written
 
-def _written(df: DataFrame) -> DataFrame:
-    """df in the folder that the cluster shares, with its lineage cut."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/reach-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+ROUNDS = 64
 
 
 def reach(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(qual, cls): the classes that each caller reaches through edges (caller, callee) from seeds (qual, cls).
 
-    Each round joins only what the round before found new; it ends when nothing is, or after `rounds`
-    doublings: edges are squared as it goes, so a chain of n calls takes log n rounds.
+    Round k follows the pairs that are exactly 2 ** k calls apart, so a chain of n
+    calls takes log n rounds and no closure of pairs is held. It ends when a round
+    finds nothing new: then no class is further away. Raises if `rounds` aren't enough.
     """
-    known = _written(seeds.distinct())
-    paths = _written(edges.distinct())
+    known = written(seeds.distinct(), "reach")
+    apart = written(edges.distinct(), "apart")
+    size = known.count()
     for _ in range(rounds):
-        found = known.join(paths, known["qual"] == paths["callee"]).select(F.col("caller").alias("qual"), "cls")
-        grown = _written(known.union(found).distinct())
-        if grown.count() == known.count():
-            return grown
-        # What known gained by single steps next gains by pairs of them.
-        left, right = paths.select("caller", F.col("callee").alias("mid")), paths.select(F.col("caller").alias("mid"), "callee")
-        paths = _written(paths.union(left.join(right, "mid").select("caller", "callee")).distinct())
-        known = grown
-    return known
+        found = known.join(apart, known["qual"] == apart["callee"]).select(F.col("caller").alias("qual"), "cls")
+        known = written(known.union(found).distinct(), "reach")
+        before, size = size, known.count()
+        if size == before:
+            return known
+        left, right = apart.select("caller", F.col("callee").alias("mid")), apart.select(F.col("caller").alias("mid"), "callee")
+        apart = written(left.join(right, "mid").select("caller", "callee").distinct(), "apart")
+    raise RuntimeError(f"the call graph needs more than {rounds} rounds")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +53,18 @@ def _path(kind: str, first: Column, path: Column) -> Column:
     return path
 
 
+def _route(i: int, kind: str, verb: int) -> Callable[[Column, Column], Column]:
+    def route(m: Column, place: Column) -> Column:
+        shown = _path(kind, m["first"], m["path"])
+        return F.struct(
+            F.lit(kind).alias("kind"), F.lit(i).alias("kind_order"), place.alias("place"), shown.rlike(r"^[/^r]").alias("ok"),
+            F.regexp_replace(F.regexp_replace(shown, r"^[r^]+", ""), r"\$+\z", "").alias("path"),
+            _methods(kind if verb else "", F.lower(m["first"]), F.col("line")).alias("methods"),
+        )
+
+    return route
+
+
 def file_routes(files: DataFrame, text: str = "text") -> DataFrame:
     """(file, lineno, kind, place, path, methods) of every route of files (rel_path, text).
 
@@ -63,16 +75,11 @@ def file_routes(files: DataFrame, text: str = "text") -> DataFrame:
     found = []
     for i, (kind, pattern, verb, path) in enumerate(PATTERNS):
         take = lambda g: F.regexp_extract_all("line", F.lit(pattern), F.lit(g))  # noqa: B023, E731
-        each = F.arrays_zip(take(verb or 1).alias("first"), take(path).alias("path"))
-        rows = lines.where(F.col("line").rlike(pattern)).select("file", "at", "line", F.posexplode(each).alias("place", "m"))
-        shown = _path(kind, F.col("m.first"), F.col("m.path"))
-        rows = rows.select(
-            "file", (F.col("at") + 1).alias("lineno"), F.lit(kind).alias("kind"), F.lit(i).alias("kind_order"), "place",
-            F.regexp_replace(F.regexp_replace(shown, r"^[r^]+", ""), r"\$+\z", "").alias("path"),
-            _methods(kind if verb else "", F.lower("m.first"), F.col("line")).alias("methods"),
-        ).where(shown.rlike(r"^[/^r]"))
-        found.append(rows)
-    return reduce(DataFrame.unionByName, found)
+        each = F.transform(F.arrays_zip(take(verb or 1).alias("first"), take(path).alias("path")), _route(i, kind, verb))
+        found.append(F.when(F.col("line").rlike(pattern), each).otherwise(F.slice(each, 1, 0)))
+    # One pass over the text: all kinds' matches of a line are one array.
+    rows = lines.select("file", "at", F.explode(F.flatten(F.array(*found))).alias("r")).where("r.ok")
+    return rows.select("file", (F.col("at") + 1).alias("lineno"), "r.kind", "r.kind_order", "r.place", "r.path", "r.methods")
 
 
 def distinct_routes(routes: DataFrame) -> DataFrame:

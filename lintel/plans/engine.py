@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lintel.operators import context, dedupe, detectors, routes, severity, taint, units, verdict
 from lintel.sources import files as sources
+from lintel.sources.shared import written
 
 COLUMNS = ("matcher_id", "type", "cwe", "severity", "confidence", "file", "language", "function", "lineno", "end_lineno", "source", "explanation", "detection_method", "status")
 
@@ -17,7 +18,7 @@ def numbered(findings: DataFrame) -> DataFrame:
     Ranks run within a file: a row's ord is only compared with those of its file.
     """
     w = Window.partitionBy("file").orderBy("lineno", "matcher_id", "type", "function")
-    return findings.withColumn("ord", F.xxhash64("file").bitwiseAND(F.lit((1 << 43) - 1)) * 1048576 + F.row_number().over(w))
+    return findings.withColumn("ord", F.row_number().over(w).cast("long"))
 
 
 def linked_units(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -28,23 +29,23 @@ def linked_units(files: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(led, ["file", "qualname"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
 
 
-def scan(files: DataFrame, enabled: tuple[str, ...] | None = None, with_flows: bool = True, cache: bool = True) -> DataFrame:
+def scan(files: DataFrame, enabled: tuple[str, ...] | None = None, with_flows: bool = True) -> DataFrame:
     """Findings of files (rel_path, language, text), with severity, CVSS and verdict.
 
-    Everything up to the dedupes is per file; they and the route links share one
-    shuffle by file.
+    Files, units, hits and flows are each written once to the shared folder; what
+    follows reads those, so no file is parsed twice.
     """
-    files = files.select("rel_path", "language", "text")
-    found = units.extract(files)
+    files = written(files.select("rel_path", "language", "text"), "files")
+    found = written(units.extract(files), "units")
     hits = detectors.detect(linked_units(files, found), enabled).where("status <> 'ERROR'")
-    kept = context.apply_context(hits, files)
-    kept = dedupe.fold_same_line(dedupe.collapse_matchers(numbered(kept)))
+    kept = written(context.apply_context(hits, files), "hits")
+    kept = written(dedupe.fold_same_line(dedupe.collapse_matchers(numbered(kept))), "folded")
     if with_flows:
         flows = taint.analyse(files).withColumns({
             "matcher_id": F.lit("taint-engine"), "end_lineno": F.col("lineno"), "detection_method": F.lit("taint-dataflow"), "status": F.lit("OPEN"),
             "explanation": F.concat(F.lit("Untrusted input reaches a sink: "), F.col("via"), F.lit(". "), F.col("source")),
         })
-        kept, fresh = dedupe.merge_flows(kept, numbered(flows.select(*COLUMNS)))
+        kept, fresh = dedupe.merge_flows(kept, written(numbered(flows.select(*COLUMNS)), "flows"))
         kept = kept.select(*COLUMNS).unionByName(context.apply_context(fresh.select(*COLUMNS), files))
     scored = severity.apply_severity(kept)
     judged = verdict.judge(scored.withColumn("evidence", F.lit(None).cast("struct<line:int,source:string,sink:string>")))

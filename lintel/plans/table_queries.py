@@ -240,13 +240,13 @@ def line_findings(spark: SparkSession, sf_dir: str, flag: str) -> DataFrame:
     return rows.select(
         F.col("l_linestatus").alias("type"), (F.col("l_orderkey") % 500).alias("file"), F.col("l_suppkey").alias("function"), (F.col("l_partkey") % 200).alias("lineno"),
         F.round("l_discount", 2).alias("confidence"), F.lit("static").alias("detection_method"), F.lit("CWE-1").alias("cwe"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
-    ).where("ord % 7 = 0 OR type = 'O'")
+    )
 
 
 def _sql_line_findings(flag: str) -> str:
     return (
         "(SELECT l_linestatus AS type, l_orderkey % 500 AS file, l_suppkey AS function, l_partkey % 200 AS lineno, round(l_discount, 2) AS confidence, "
-        f"l_orderkey * 10 + l_linenumber AS ord FROM lineitem WHERE l_returnflag {flag} AND ((l_orderkey * 10 + l_linenumber) % 7 = 0 OR l_linestatus = 'O'))"
+        f"l_orderkey * 10 + l_linenumber AS ord FROM lineitem WHERE l_returnflag {flag})"
     )
 
 
@@ -360,7 +360,7 @@ def context_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.apply_context(doc_findings(spark, sf_dir), doc_files(spark, sf_dir).select("rel_path", F.lit("").alias("text"))).select("doc_id", "confidence")
 
 
-SHAPES = ("os.system(_lb_safe_cmd_arg(x))", "{{ name|e }}", "pickle.loads(x)", "_LB_BASE + name", "eval(_lb_no_exec)")
+SHAPES = ("os.system(shlex.quote(x))", "{{ name|e }}", "pickle.loads(x)", "os.path.basename(name)", "ast.literal_eval(x)")
 KINDS = ("OS Command Injection", "Reflected Cross-Site Scripting (XSS)", "Insecure Deserialization", "Path Traversal", "Code Injection")
 
 
@@ -632,7 +632,7 @@ def grounding_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "turn", common.cast("bigint").alias("n_common"))
 
 
-_SQL_PASSES = "(SELECT role AS file, turn % 3 + 1 AS pass, conv_id AS place, md5(left(text, 3)) AS fingerprint, 50 + length(text) % 45 AS confidence FROM conversations)"
+_SQL_PASSES = "(SELECT role AS file, turn % 3 + 1 AS pass, conv_id AS place, md5(lower(text)) AS fingerprint, 50 + length(text) % 45 AS confidence FROM conversations)"
 
 
 @query(
@@ -642,7 +642,7 @@ _SQL_PASSES = "(SELECT role AS file, turn % 3 + 1 AS pass, conv_id AS place, md5
 )
 def consensus_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "conversations").select(
-        F.col("role").alias("file"), (F.col("turn") % 3 + 1).alias("pass"), F.col("conv_id").alias("place"), F.md5(F.substring("text", 1, 3)).alias("fingerprint"), (F.lit(50) + F.length("text") % 45).cast("bigint").alias("confidence")
+        F.col("role").alias("file"), (F.col("turn") % 3 + 1).alias("pass"), F.col("conv_id").alias("place"), F.md5(F.lower("text")).alias("fingerprint"), (F.lit(50) + F.length("text") % 45).cast("bigint").alias("confidence")
     )
     return claims.consensus(rows, 3).select("file", "fingerprint", "confidence", "consensus")
 

@@ -1,5 +1,5 @@
 import pytest
-from rule_cases import CASES
+from lintel.plans.rule_cases import CASES
 
 from lintel.operators import detectors, fixers, units
 

@@ -7,7 +7,9 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
-from lintel.plans import table_queries
+from lintel.plans import code_queries, table_queries
+
+QUERIES, ORACLES = table_queries.QUERIES | code_queries.QUERIES, table_queries.ORACLES | code_queries.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -27,12 +29,12 @@ def plain(rows):
     return sorted((tuple(value(x) for x in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", table_queries.ORACLES)
+@pytest.mark.parametrize("name", ORACLES)
 def test_same_rows_as_sql(spark, tables, name):
-    df = table_queries.QUERIES[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     names = sorted(df.columns)
     got = plain(tuple(r[n] for n in names) for r in df.collect())
-    cursor = tables.execute(table_queries.ORACLES[name])
+    cursor = tables.execute(ORACLES[name])
     places = {d[0]: i for i, d in enumerate(cursor.description)}
     assert sorted(places) == names
     assert got == plain(tuple(r[places[n]] for n in names) for r in cursor.fetchall())
