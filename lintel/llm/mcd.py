@@ -167,14 +167,14 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         cut = staged(rated.groupBy(*key).agg(F.percentile_approx("d", F.lit(H), F.lit(1000)).alias("h")), f"cut{step}")
         return rated.join(cut, key)
 
-    before: dict = {}
+    before = None
     for step in range(STEPS):
         estimates = staged(_estimates(near(rated, step).where("d <= h"), key), f"estimates{step}")
         # A step never raises a determinant but for the sketches' error; below that error it has converged.
-        moved = estimates.agg(F.sum("logdet"), F.count("*")).first()
-        if before.get("n") == moved[1] and abs(before["sum"] - moved[0]) <= SETTLED * moved[1]:
+        total, n = estimates.agg(F.coalesce(F.sum("logdet"), F.lit(0.0)), F.count("*")).first()
+        if before is not None and abs(before - total) <= SETTLED * n:
             break
-        before = {"sum": moved[0] or 0.0, "n": moved[1]}
+        before = total
         rated = pool.join(estimates, "group").select("group", "start", *vector, _distance().alias("d"))
     best = estimates.groupBy("group").agg(F.min_by("start", F.struct("logdet", "start")).alias("best"))
     final = estimates.join(best, "group").where("start = best")
