@@ -37,10 +37,10 @@ HEAD = 2048
 PER_CLASS = 64
 TAILS = 32
 STATE = 24
-WINDOW, STREAMS = 32, 32
+WINDOW, STREAMS = 32, 128
 ROUNDS = 16  # at least
 REPLICA = 200_000  # training tokens of a replica and round
-RATE = 6e-3
+RATE = 1.2e-2
 SEGMENT = 1 << 20
 END = 0
 f32 = np.float32
