@@ -77,8 +77,10 @@ class Block:
         p = n[:, :-1] + smoothing
         p /= p.sum(axis=1, keepdims=True)
         logs = np.log(p)
-        self.mean = (p * logs).sum(axis=1)
-        self.deviation = np.sqrt(np.maximum((p * logs * logs).sum(axis=1) - self.mean**2, 1e-6))
+        # Over the grams that the language's texts have, not over those that smoothing lends it.
+        seen = n[:, :-1] / np.maximum(n[:, :-1].sum(axis=1, keepdims=True), 1)
+        self.mean = (seen * logs).sum(axis=1)
+        self.deviation = np.sqrt(np.maximum((seen * logs * logs).sum(axis=1) - self.mean**2, 1e-6))
         self.logs = np.ascontiguousarray(logs.T.astype(np.float32))
 
 

@@ -185,3 +185,36 @@ def test_pipeline(spark, tmp_path):
         assert after.columns == frame.columns, name
         assert after.count() <= frame.count()
         frame = corpus_pipeline.staged(after, name)
+
+
+def test_any_number_of_languages_and_unlearned_scripts(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    words = {"en": "the house and the tree stand there", "de": "das haus und der baum stehen dort", "fi": "talo ja puu seisovat tuolla yhdessä", "es": "la casa y el árbol están allí", "xx": "zq zqx qzq xzq zzq qxz"}
+    rows = [(i, " ".join([words[x]] * 5), x) for i, x in enumerate(list(words) * 8)]
+    model = langid.fit(docs(rows))
+    assert len(model.blocks) == 3
+    asked = [*((i, words[x], x) for i, x in enumerate(words)), (90, "дом и дерево стоят там вместе", None), (91, "the tree and the house", None), (91, "the tree and the house", None)]
+    held = docs(asked).withColumn("top", F.lit(1)).withColumn("best", F.lit("b")).withColumn("score", F.lit("s"))
+    got = langid.identify(held, model).collect()
+    found = {r["doc_id"]: r for r in got}
+    assert [found[i]["lang_pred"] for i in range(5)] == list(words) and all(0.9 < found[i]["score"] <= 1 for i in range(5))
+    assert len(got) == 8 and all(r["top"] == 1 and r["best"] == "b" for r in got)
+    assert found[90]["likeness"] < -2.5 < found[91]["likeness"]
+
+
+def test_pipeline_stages_decide_as_they_must(spark, docs):
+    import corpus_pipeline
+
+    clean = [" ".join(f"word{(7 * i * j) % 101}" for j in range(1, 60)) for i in range(1, 6)]
+    learned = [(100 + i, t, "en") for i, t in enumerate(clean * 4)]
+    given = docs([*learned, (1, None, None), (2, "", None), (3, "12 34", None)])
+    kept = corpus_pipeline.language_id(spark, given, "")
+    assert kept.columns == given.columns and sorted(r["doc_id"] for r in kept.collect()) == [r[0] for r in learned]
+    near = docs([(0, clean[0]), (1, clean[0] + " more"), (2, clean[1]), (3, None), (4, clean[0])])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, near, "").collect()) == [0, 2, 3]
+    lines = corpus_pipeline.line_dedup_stage(spark, docs([(0, "one line of text here\nother"), (1, "one line of text here\nthird line"), (2, None)]), "")
+    assert {r["doc_id"]: r["text"] for r in lines.collect()} == {0: "one line of text here\nother", 1: "third line", 2: None}
+    cut = corpus_pipeline.substring_dedup(spark, docs([(0, clean[0]), (1, "start " + clean[0] + " end"), (2, None)]), "")
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {0: clean[0], 1: "start end", 2: None}
+    for stage in (corpus_pipeline.line_dedup_stage, corpus_pipeline.near_dedup, corpus_pipeline.substring_dedup):
+        assert stage(spark, docs([]), "").columns == docs([]).columns and stage(spark, docs([]), "").count() == 0
