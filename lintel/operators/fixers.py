@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import difflib
 import re
+import textwrap
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -63,6 +64,77 @@ def _read_secret(text: str) -> str:
     return re.sub(r"(?i)(\b\w*(?:api[_-]?key|secret|passwd|password|token)\w*)(\s*=\s*)['\"][^'\"]{8,}['\"]", lambda m: f'{m.group(1)}{m.group(2)}os.environ["{m.group(1).upper()}"]', text)
 
 
+def _lock_python(unit: detectors.Unit) -> str:
+    """The body under a lock that all calls share: of the class for a method, else of the module.
+
+    What such a lock can't hold stays: decorated functions (the lock's line would
+    part them from their decorators), coroutines, generators, lines inside strings.
+    """
+    text = unit.source
+    indent = text[: len(text) - len(text.lstrip())]
+    flat = textwrap.dedent(text)
+    try:
+        function = ast.parse(flat).body[0]
+    except (SyntaxError, ValueError, IndexError):
+        return text
+    inside = list(ast.walk(function))
+    if unit.decorators or not isinstance(function, ast.FunctionDef) or any(isinstance(x, ast.Yield | ast.YieldFrom) for x in inside):
+        return text
+    if any(isinstance(x, ast.Constant | ast.JoinedStr) and x.end_lineno > x.lineno for x in inside):
+        return text
+    body = function.body[1:] if ast.get_docstring(function) is not None else function.body
+    if not body or body[0].lineno == function.lineno:
+        return text
+    lines, lock = flat.split("\n"), f"{function.name}_lock"
+    method = bool(function.args.args) and function.args.args[0].arg == "self"
+    pad = " " * body[0].col_offset
+    first = body[0].lineno - 1
+    held = [f"{pad}with {'self.' if method else ''}{lock}:", *("    " + x if x.strip() else x for x in lines[first:])]
+    head = ["import threading", f"{lock} = threading.Lock()", ""]
+    return textwrap.indent("\n".join([*head, *lines[:first], *held]), indent)
+
+
+def _after_brace(*opening: str, closing: str = "") -> Fixer:
+    """Lines after the unit's first opening brace, and one before its last closing one."""
+
+    def fix(text: str) -> str:
+        head, brace, rest = text.partition("{")
+        body, end, tail = rest.rpartition("}")
+        if not brace or not end:
+            return text
+        inner = re.search(r"\n([ \t]*)\S", body)
+        pad = inner.group(1) if inner else "    "
+        lines = "".join(f"\n{pad}{x}" for x in opening)
+        last = f"{pad}{closing}\n" if closing else ""
+        return f"{head}{{{lines}{body}{last if body.endswith(chr(10)) else chr(10) * bool(last) + last}{end}{tail}"
+
+    return fix
+
+
+def _synchronize_ruby(text: str) -> str:
+    lines = text.rstrip("\n").split("\n")
+    if len(lines) < 3 or lines[-1].strip() != "end":
+        return text
+    pad = lines[1][: len(lines[1]) - len(lines[1].lstrip())]
+    return "\n".join([lines[0], f"{pad}UNIT_MUTEX.synchronize do", *("  " + x for x in lines[1:-1]), f"{pad}end", lines[-1]])
+
+
+#: How a check and the change after it are held together, by language. The names of the locks are the owner's to declare.
+LOCKS: dict[str, Fixer] = {
+    "java": lambda text: re.sub(r"^(\s*(?:(?:public|protected|private|static|final)\s+)*)(?!.*\bsynchronized\b)(?=[\w<>\[\], ]+\s+\w+\s*\()", r"\1synchronized ", text, count=1),
+    "go": _after_brace("unitMutex.Lock()", "defer unitMutex.Unlock()"),
+    "c_sharp": _after_brace("lock(unitLock)", "{", closing="}"),
+    "ruby": _synchronize_ruby,
+    "javascript": _after_brace("return unitMutex.runExclusive(async () => {", closing="});"),
+    "typescript": _after_brace("return unitMutex.runExclusive(async () => {", closing="});"),
+    "tsx": _after_brace("return unitMutex.runExclusive(async () => {", closing="});"),
+    "php": _after_brace("$unitLock = fopen(sys_get_temp_dir() . '/unit.lock', 'c');", "flock($unitLock, LOCK_EX);"),
+}
+RACE = "Race Condition (TOCTOU)"
+
+_REQUEST = r"request\.(?:args|form|json|values|data|get_json\(\))(?:\.get)?"
+_DEF = r"(?m)\A([ \t]*)((?:async\s+)?def\s)"
+
 FIXERS: dict[str, Fixer] = {
     "SQL Injection": _bind_sql,
     "OS Command Injection": _quote_command,
@@ -78,10 +150,25 @@ FIXERS: dict[str, Fixer] = {
     "CSRF Protection Disabled": _sub((r"(CSRF_(?:ENABLED|CHECK_DEFAULT)['\"]?\]?\s*[=:]\s*)False", r"\1True"), (r"(?m)^\s*@csrf(?:_exempt|\.exempt)\s*\n", "")),
     "Hardcoded Secret / Credential": _read_secret,
     "Open Redirect": _sub((r"\bredirect\((\w+)\)", r"redirect(\1 if \1 in ALLOWED_REDIRECTS else '/')")),
-    "Path Traversal": _sub((r"(?<![\w.])open\(([^,()]+)", r"open(os.path.realpath(\1)")),
+    "Path Traversal": _sub(
+        (r"(?<![\w.])open\((['\"][^'\"\n]*['\"]\s*\+\s*)([\w.]+)(?=[,)])", r"open(\1os.path.basename(\2)"),
+        (r"(?<![\w.])open\(([\w.]+)(?=[,)])", r"open(os.path.basename(\1)"),
+    ),
     "Reflected Cross-Site Scripting (XSS)": _sub((r"(['\"]\s*\+\s*)(\w+)(\s*\+\s*['\"])", r"\1escape(\2)\3")),
     "Permissive CORS Configuration": _sub((r"(origins?\s*=\s*)['\"]\*['\"]", r"\1ALLOWED_ORIGINS")),
     "XML External Entity (XXE)": _sub((r"\b(?:lxml\.)?etree\.(fromstring|parse)\(([^()]*)\)", r"defusedxml.lxml.\1(\2)")),
+    "Insecure Direct Object Reference (IDOR)": _sub(
+        (r"(?m)^([ \t]*)return (\w+\.objects\.get\([^\n]*\)|\w+\.query\.get\([^\n]*\))$", r"\1found = \2\n\1if found.owner_id != current_user.id:\n\1    abort(403)\n\1return found"),
+    ),
+    "Broken Authorization (client-trusted role)": _sub((rf"{_REQUEST}\(?\[?['\"](?:is_)?(?:admin|role|staff)['\"][^)\]]*[)\]]\s*==\s*[\w'\"]+", "current_user.is_admin")),
+    "Broken Authentication (static credential)": _sub((r"\b(\w+)\s*==\s*([A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD))\b", r"hmac.compare_digest(str(\1), \2)")),
+    "Negative / Zero Quantity": _sub((rf"(?m)^([ \t]*)(\w*(?:qty|quantity|count|amount)\w*)\s*=\s*({_REQUEST}[^\n]+)$", r"\1\2 = int(\3)\n\1if \2 < 1:\n\1    abort(400)")),
+    "Price / Quantity Manipulation": _sub((rf"(?m)^([ \t]*)(\w*(?:price|amount|total|cost)\w*)\s*=\s*({_REQUEST}[^\n]+)$", r"\1\2 = float(\3)\n\1if \2 <= 0 or not math.isfinite(\2):\n\1    abort(400)")),
+    "Missing Authentication on Sensitive Action": _sub((_DEF, r"\1@login_required\n\1\2")),
+    "Sensitive Action Without Rate Limiting": _sub((_DEF, r"\1@limiter.limit('5/minute')\n\1\2")),
+    "JWT Verification Weakness": _sub((r"\bjwt\.decode\(([^,()]+(?:\([^()]*\))?)\s*,[^\n]*(?:verify_signature['\"]\s*:\s*False|verify\s*=\s*False|['\"]none['\"])[^\n)]*\)", r"jwt.decode(\1, JWT_KEY, algorithms=['HS256'])")),
+    "Sensitive Information Exposure": _sub((r"(?m)^([ \t]*return )(?:os\.environ\b[^\n]*|str\(\w+\)|traceback\.format_exc\(\))$", r"\1'an error occurred'")),
+    "Server-Side Request Forgery (SSRF)": _sub((r"(?m)^([ \t]*)([^\n]*\b(?:requests\.\w+|urlopen)\((\w+)[^\n]*)$", r"\1if urlparse(\3).hostname not in ALLOWED_HOSTS:\n\1    abort(400)\n\1\2")),
     "Server-Side Template Injection": _sub((r"render_template_string\(\s*(['\"])(.*?)\1\s*\+\s*(\w+)\s*\)", r"render_template_string(\1\2{{ value }}\1, value=\3)")),
 }
 
@@ -107,9 +194,16 @@ def still_found(text: str, unit: detectors.Unit, type_: str) -> bool:
     return any(r["type"] == type_ for r in detectors.find(again)) or any(r["type"] == type_ for r in taint.flows_of(text, unit.language))
 
 
-def repair(unit: detectors.Unit, type_: str) -> dict:
+def rewritten(unit: detectors.Unit, type_: str) -> str:
+    """The unit's text with the rewrite for that type, which the language decides for races; as it is without one."""
+    if type_ == RACE:
+        return _lock_python(unit) if unit.language == "python" else LOCKS.get(unit.language, str)(unit.source)
     fix = fixer_for(type_)
-    new = fix(unit.source) if fix else unit.source
+    return fix(unit.source) if fix else unit.source
+
+
+def repair(unit: detectors.Unit, type_: str) -> dict:
+    new = rewritten(unit, type_)
     if new == unit.source:
         status, note = "suggested", "no rewrite of this shape"
     elif not parses(new, unit.language):
@@ -138,3 +232,46 @@ def patches(findings: DataFrame, units: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in SCHEMA.split(",")])
 
     return units.join(wanted, ["file", "qualname"]).select(*fields, "type").mapInPandas(run, SCHEMA)
+
+
+def nearest(text: str, wanted: str, line: int) -> int:
+    """Where the occurrence of wanted begins whose first line is nearest to line; the earlier of two, -1 without one."""
+    places = [m.start() for m in re.finditer(re.escape(wanted), text)] if wanted else []
+    return min(places, key=lambda at: (abs(text.count("\n", 0, at) + 1 - line), at), default=-1)
+
+
+APPLIED = "file string, line int, status string, note string, fixed_text string, diff string"
+
+
+def proposed(text: str, language: str, line: int, original: str, replacement: str) -> dict:
+    """A proposed replacement at the occurrence nearest to its line, accepted if the file still parses."""
+    at = nearest(text, original, line)
+    new = text if at < 0 else text[:at] + replacement + text[at + len(original) :]
+    if at < 0:
+        status, note = "rejected", "the text to replace isn't in the file"
+    elif new == text:
+        status, note = "rejected", "nothing changes"
+    elif not parses(new, language):
+        status, note = "rejected", "the file doesn't parse any more"
+    else:
+        status, note = "applied", "replaced at line " + str(text.count("\n", 0, at) + 1)
+    kept = new if status == "applied" else text
+    shown = "\n".join(x for x in difflib.unified_diff(text.split("\n"), kept.split("\n"), lineterm="", n=0) if not x.startswith(("---", "+++")))
+    return {"status": status, "note": note, "fixed_text": kept, "diff": shown}
+
+
+def apply_proposals(files: DataFrame, proposals: DataFrame) -> DataFrame:
+    """Each of proposals (file, line, original, replacement) against files (rel_path, language, text), one by one.
+
+    Null text, original or replacement counts as empty, a null line as 0; a
+    proposal for a file that isn't there has no row.
+    """
+    some = proposals.select("file", F.coalesce("line", F.lit(0)).cast("int").alias("line"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("original", "replacement")))
+    texts = files.select(F.col("rel_path").alias("file"), "language", F.coalesce("text", F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [{"file": r.file, "line": r.line} | proposed(r.text, r.language, r.line, r.original, r.replacement) for r in batch.itertuples(index=False)]
+            yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in APPLIED.split(",")])
+
+    return some.join(texts, "file").mapInPandas(run, APPLIED)
