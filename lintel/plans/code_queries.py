@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lintel.operators import detectors, fixers, taint, units
 from lintel.plans import engine
 from lintel.plans.rule_cases import CASES
+from lintel.sources.shared import dealt
 
 TEMPLATES = (
     ("python", '@app.route("/u{n}")\ndef show_{n}():\n    name = request.args.get("n")\n    db.execute("SELECT * FROM t WHERE n = " + name)\n    return "ok"\n'),
@@ -89,11 +90,11 @@ _LANGUAGE = "CASE c_custkey % 6 WHEN 3 THEN 'php' WHEN 4 THEN 'javascript' ELSE
 
 
 def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.extract(code_files(spark, sf_dir)).select("file", "language", "qualname", "lineno", "end_lineno", F.array_join("params", ",").alias("params"), "is_module")
+    return units.extract(dealt(code_files(spark, sf_dir), "rel_path")).select("file", "language", "qualname", "lineno", "end_lineno", F.array_join("params", ",").alias("params"), "is_module")
 
 
 def code_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taint.analyse(code_files(spark, sf_dir)).select("file", "function", "lineno", "type", "confidence", "via")
+    return taint.analyse(dealt(code_files(spark, sf_dir), "rel_path")).select("file", "function", "lineno", "type", "confidence", "via")
 
 
 def code_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,13 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """rows dealt by key over all cores. What is parsed from a row costs far more than its bytes, by which Spark
+    cuts its scans: a table of a few megabytes, or of short expressions for long texts, would be one task's work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), key)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder, with its lineage cut; the folder goes when the application ends."""
     spark = df.sparkSession

@@ -1,3 +1,5 @@
+import ast
+
 import pytest
 
 from lintel.operators import taint
@@ -48,3 +50,10 @@ def test_empty_and_broken_files():
     for language in taint.K.SOURCES:
         assert taint.flows_of("", language) == []
         taint.flows_of("def (((\n}}}{{{ \x00 '", language)
+
+
+def test_shown_is_the_source_segment():
+    text = "def f(a):\r    x = 'é' + g(a,\n      1)\r\n    if x:\n        return os.system(x)\n"
+    shown = taint.Shown(text)
+    for node in ast.walk(ast.parse(text)):
+        assert shown.segment(node) == (ast.get_source_segment(text, node) or "")
