@@ -103,8 +103,8 @@ def code_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fix_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = code_files(spark, sf_dir)
-    return fixers.patches(engine.scan(files), units.extract(files)).select("file", "function", "type", "status", "note", "diff")
+    files, found = engine.parsed(code_files(spark, sf_dir))
+    return fixers.patches(engine.scan_parsed(files, found), found).select("file", "function", "type", "status", "note", "diff")
 
 
 def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
