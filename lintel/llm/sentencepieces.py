@@ -6,7 +6,7 @@ the left; the best pair merges and its new neighbours enter, until none is left.
 Symbols outside the vocabulary become bytes. Pieces hold the space mark only at
 their front, so each run of marks with the characters up to the next mark is
 encoded once and remembered. What an Arrow batch adds to the memory is compared
-with the library's own encoding before it is used.
+with the library's own encoding before it is used, or else every whole text is.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from lintel.llm.common import arrow_rows, lean
 MARK = "▁"
 CACHED_BYTES = 128 << 20
 _ENTRY = 160  # of two short strings in a dict
+SHORT = 64  # up to so many characters a list is the faster agenda
+_NONE = 1 << 62
 
 
 class Encoder:
@@ -49,13 +51,34 @@ class Encoder:
 
     def merge(self, chunk: str) -> list[int]:
         """The ids of a chunk, by the agenda."""
-        ids, rank = self.ids, self.rank
-        whole = ids.get(chunk)
+        whole = self.ids.get(chunk)
         n = len(chunk)
         if n == 1:
             return [whole] if whole is not None else [self.bytes[b] for b in chunk.encode()]
+        return self.spelled(self.short(list(chunk)) if n <= SHORT else self.long(list(chunk)))
+
+    def short(self, symbols: list[str]) -> list[str]:
+        """The symbols merged; the agenda is the list of the adjacent pairs' ranks, its first least entry the best pair."""
+        get = self.rank.get
+        agenda = [get(a + b, _NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+        while agenda:
+            best = min(agenda)
+            if best == _NONE:
+                break
+            i = agenda.index(best)
+            joint = symbols[i] + symbols.pop(i + 1)
+            symbols[i] = joint
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = get(joint + symbols[i + 1], _NONE)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + joint, _NONE)
+        return symbols
+
+    def long(self, symbols: list[str]) -> list[str]:
+        """The symbols merged, those that were merged into another empty; the agenda is a heap of (rank, left, right)."""
+        rank, n = self.rank, len(symbols)
         shift = n.bit_length()
-        symbols: list[str] = list(chunk)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
         mask = (1 << shift) - 1
@@ -87,7 +110,11 @@ class Encoder:
                 r = get(symbols[ahead] + joint)
                 if r is not None:
                     push(agenda, (r << shift | ahead) << shift | left)
-        out: list[int] = []
+        return symbols
+
+    def spelled(self, symbols: list[str]) -> list[int]:
+        """The symbols' ids; one outside the vocabulary is its bytes."""
+        ids, out = self.ids, []
         for s in symbols:
             if s:
                 i = ids.get(s)
@@ -100,19 +127,24 @@ class Encoder:
     def chunks(self, text: str) -> list[str]:
         return self.cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def learn(self, texts: list[list[str]]) -> None:
+    def learn(self, texts: list[list[str]], compare: bool = True) -> None:
+        """Remember the chunks' ids; compare each with the library's, unless whole texts are compared afterwards."""
         if self.size > CACHED_BYTES:
             self.known.clear()
             self.size = 0
         new = list(set().union(*texts).difference(self.known))
-        ids = [self.merge(c) for c in new]
-        # A chunk with a mark in front is a text of its own, as the library puts one mark there.
-        own = [(c[1:], i) for c, i in zip(new, ids, strict=True) if c[0] == MARK]
-        for (text, mine), theirs in zip(own, self.library.encode([t for t, _ in own], num_threads=1), strict=True):
-            if text and mine != theirs:
-                raise ValueError(f"the library encodes {text!r} as {theirs}, the agenda as {mine}")
-        self.known.update((c, ",".join(map(str, i)).encode()) for c, i in zip(new, ids, strict=True))
-        self.size += sum(_ENTRY + 2 * len(c) + len(self.known[c]) for c in new)
+        # One by one: lists that stay would set the garbage collector on the whole memory again and again.
+        ids = map(self.merge, new)
+        if compare:
+            ids = list(ids)
+            # A chunk with a mark in front is a text of its own, as the library puts one mark there.
+            own = [(c[1:], i) for c, i in zip(new, ids, strict=True) if c[0] == MARK]
+            for (text, mine), theirs in zip(own, self.library.encode([t for t, _ in own], num_threads=1), strict=True):
+                if text and mine != theirs:
+                    raise ValueError(f"the library encodes {text!r} as {theirs}, the agenda as {mine}")
+        for c, i in zip(new, ids, strict=True):
+            coded = self.known[c] = ",".join(map(str, i)).encode()
+            self.size += _ENTRY + 2 * len(c) + len(coded)
 
 
 @lru_cache(maxsize=4)
@@ -127,7 +159,7 @@ def _encode(path: str, check: bool, with_ids: bool):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             parts = [e.chunks(t) for t in texts]
-            e.learn(parts)
+            e.learn(parts, compare=not check)
             known = e.known
             joined = [b",".join([known[c] for c in p]) for p in parts]
             ids = [list(map(int, j.split(b","))) if j else [] for j in joined]

@@ -1,4 +1,6 @@
 import public_tokenizers
+import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -35,3 +37,20 @@ def test_the_query_compares_whole_documents(spark, monkeypatch):
     monkeypatch.setattr(sentencepieces, "_encode", watched)
     assert queries.op3_sentencepiece(spark, "/root/testdata/sf0.001").count() == 200
     assert seen == [True]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("abcdehilnorst▁.é日"), st.characters(exclude_categories=["Cs"])), min_size=2, max_size=90))
+def test_both_agendas_merge_alike(chunk):
+    e = sentencepieces.encoder(PATH)
+    assert e.short(list(chunk)) == [s for s in e.long(list(chunk)) if s]
+
+
+def test_a_wrong_id_is_found_with_either_comparison(monkeypatch):
+    monkeypatch.setattr(sentencepieces.Encoder, "spelled", lambda self, symbols: [7] * len(symbols))
+    for check in (True, False):
+        sentencepieces.encoder.cache_clear()
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["unmergeable zzqqxx words"]})
+        with pytest.raises(ValueError, match="library"):
+            list(sentencepieces._encode(PATH, check, False)(iter([batch])))
+    sentencepieces.encoder.cache_clear()
