@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lintel.llm.common import arrow_rows, blobs, carried, frees_stages, lean, staged
-from lintel.llm.graph import bit_maps, buckets, classes_of
+from lintel.llm.graph import bit_map_pairs, bit_maps, buckets, classes_of
 from lintel.llm.textkernel import U, Words, chunks, mix, runs
 
 SHINGLE = 5
@@ -223,7 +223,8 @@ def _classes(docs: DataFrame, k: int, threshold: float, bands: int, rows: int) -
     row = F.struct("doc_id", "text_hash")
     texts = sketch.groupBy("digest").agg(F.min(row).alias("first"), F.first("keys").alias("keys"))
     texts = staged(texts.select("digest", "first.*", "keys").withColumn("id", F.monotonically_increasing_id()), "texts")
-    found = classes_of(staged(buckets(texts.select("id", "keys")), "shared"), *verifier(docs, texts, k, threshold), threshold)
+    verify, bits = verifier(docs, texts, k, threshold)
+    found = classes_of(staged(buckets(texts.select("id", "keys")), "shared"), verify, bit_map_pairs(bits, threshold))
     classes = texts.join(found, texts["id"] == found["node"], "left").withColumn("component", F.coalesce("component", "id"))
     classes = staged(classes.select("digest", "component", row.alias("first")), "classes")
     firsts = classes.groupBy("component").agg(F.min("first").alias("keeper"))

@@ -229,3 +229,40 @@ def test_clashing_columns_and_very_long_texts(spark, docs):
         rows = {r["doc_id"]: r for r in got.collect()}
         assert len(rows) == 4 and all(r[c] == 7 for r in rows.values() for c in names)
         assert rows[1][result] == {"n_removed": 40_000 if "kept_sha256" in got.columns else 1, "class_id": 0}[result]
+
+
+def test_line_dedup_needs_no_python_on_executors(spark, docs, monkeypatch):
+    def refused(*args, **kwargs):
+        raise AssertionError("Python on the executors")
+
+    frame = docs(["alpha beta gamma delta\nalpha beta gamma delta\nother", "alpha beta gamma delta!"])
+    monkeypatch.setattr(type(frame), "mapInArrow", refused)
+    monkeypatch.setattr(type(frame.groupBy()), "applyInArrow", refused)
+    assert [r["n_removed"] for r in line_dedup.drop_lines(frame).orderBy("doc_id").collect()] == [1, 1]
+
+
+def test_native_line_bands_and_comparison(spark):
+    rng = random.Random(11)
+    grams = lambda x: {x[i : i + 5] for i in range(len(x) - 4)} or {x}
+    rows = []
+    while len(rows) < 2400:
+        n = rng.choice([9, 14, 20, 40, 60, 100, 200, 400, 800])
+        a = "".join(rng.choice("abcdefghijklmnopé ") for _ in range(n))
+        b = list(a)
+        for at in rng.sample([0, n - 1, *range(n)], max(1, n // 45)):
+            b[at] = "z"
+        b = "".join(b) + "y" * rng.randint(0, 1)
+        rows.append((len(rows), a, b, len(grams(a) & grams(b)) / len(grams(a) | grams(b))))
+    frame = spark.createDataFrame(rows, "i long, line_a string, line_b string, j double")
+    sides = [frame.select((F.col("i") * 2 + k).alias("id"), F.col(f"line_{s}").alias("line")) for k, s in enumerate("ab")]
+    both = sides[0].union(sides[1])
+    keys = line_dedup.band_keys(both)
+    met = {r["i"] for r in keys.select((F.col("id") / 2).cast("long").alias("i"), "id", "key").groupBy("i", "key").agg(F.count_distinct("id").alias("n")).where("n > 1").collect()}
+    for n in (range(60), range(60, 1000)):
+        some = [i for i, a, _, j in rows if len(a) in n and 0.8 <= j <= 0.9]
+        assert len(some) > 50 and sum(i in met for i in some) >= 0.98 * len(some)
+    got = frame.select("i", line_dedup.are_similar(F.col("line_a"), F.col("line_b"), 0.8).alias("ok")).collect()
+    assert all(r["ok"] == (rows[r["i"]][3] >= 0.8 - 1e-9) for r in got)
+    held = [line_dedup._side(line_dedup.maps(x).withColumn("id", (F.col("id") / 2).cast("long")), s) for x, s in zip(sides, "ab", strict=True)]
+    maybe = {r["id_a"] for r in held[0].join(held[1], F.col("id_a") == F.col("id_b")).where(line_dedup.may_be_similar(0.8)).collect()}
+    assert maybe >= {i for i, *_, j in rows if j >= 0.8}
