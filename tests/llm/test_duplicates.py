@@ -266,3 +266,34 @@ def test_native_line_bands_and_comparison(spark):
     held = [line_dedup._side(line_dedup.maps(x).withColumn("id", (F.col("id") / 2).cast("long")), s) for x, s in zip(sides, "ab", strict=True)]
     maybe = {r["id_a"] for r in held[0].join(held[1], F.col("id_a") == F.col("id_b")).where(line_dedup.may_be_similar(0.8)).collect()}
     assert maybe >= {i for i, *_, j in rows if j >= 0.8}
+
+
+def test_line_dedup_writes_the_keys_first_and_holds_bit_maps_against_each_other_once(spark, docs, monkeypatch):
+    names = []
+
+    def noted(df, name, write=line_dedup.staged):
+        names.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "staged", noted)
+    monkeypatch.setattr(graph, "staged", noted)
+    rng = random.Random(5)
+    base = "".join(rng.choice("abcdefghijklmnop") for _ in range(120))
+    # Around the threshold, so that buckets hold several components and some pairs meet late.
+    lines = []
+    for _ in range(60):
+        line = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 5)):
+            line[at] = "Z"
+        lines.append("".join(line))
+    grams = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    first = list(range(len(lines)))
+    for _ in lines:
+        for i, a in enumerate(grams):
+            for j, b in enumerate(grams):
+                if len(a & b) >= 0.8 * len(a | b):
+                    first[i] = first[j] = min(first[i], first[j])
+    got = line_dedup.drop_lines(docs(lines)).orderBy("doc_id").collect()
+    assert [r["n_removed"] for r in got] == [int(f != i) for i, f in enumerate(first)]
+    assert names[0] == "shared" and names.count("possible") == 1
+    assert "late" in names
