@@ -105,7 +105,7 @@ def is_mitigated(type_: Column, source: Column) -> Column:
 def apply_context(findings: DataFrame, files: DataFrame, least: float = 0.3) -> DataFrame:
     """findings that stay, penalised ones at half confidence and only from `least` on."""
     text = files.select(F.col("rel_path").alias("file"), F.col("text").alias("_text"))
-    judged = findings.join(text, "file", "left").withColumn(
+    judged = findings.join(text.hint("merge"), "file", "left").withColumn(
         "_action", evaluate(F.col("type"), F.col("language"), F.coalesce("source", F.lit("")), paths.role(F.col("file")), F.col("_text"))
     )
     kept = judged.where("_action <> 'drop'").withColumn("confidence", F.when(F.col("_action") == "penalize", halved(F.col("confidence"))).otherwise(F.col("confidence")))

@@ -59,7 +59,7 @@ def fold_same_line(findings: DataFrame, name: str = "type") -> DataFrame:
     items = F.transform("items", lambda x: F.struct(x["ord"].cast("bigint").alias("ord"), x["confidence"].cast("double").alias("confidence"), x["words"].alias("words")))
     stay = at_line.select("file", F.explode(F.aggregate(items, F.array().cast(kept_type), step)).alias("e")).select(F.col("file").alias("_file"), F.col("e.ord").alias("_ord"))
     same = (findings["file"] == stay["_file"]) & (findings["ord"] == stay["_ord"])
-    return findings.join(stay, same, "left").where("_ord IS NOT NULL OR lineno <= 0 OR lineno IS NULL").drop("_file", "_ord")
+    return findings.join(stay.hint("merge"), same, "left").where("_ord IS NOT NULL OR lineno <= 0 OR lineno IS NULL").drop("_file", "_ord")
 
 
 def near(left: DataFrame, right: DataFrame, by: list[str], window: int, same: Column | None = None) -> DataFrame:
@@ -79,19 +79,19 @@ def merge_flows(findings: DataFrame, flows: DataFrame, window: int = 6) -> tuple
     the first of each beforehand: a file with many of both costs their sum, not
     their product.
     """
-    firsts = lambda c: findings.groupBy("type", "file", c).agg(F.min("ord").alias("hit"))
+    firsts = lambda c: findings.groupBy("type", "file", c).agg(F.min("ord").alias("hit")).hint("merge")
     flow = flows.select("type", "file", "function", "lineno", "confidence", F.col("ord").alias("flow"))
     around = flow.drop("function").withColumn("lineno", F.explode(F.sequence(F.col("lineno") - window, F.col("lineno") + window)))
     pairs = [x.select("file", "flow", "confidence", "hit") for x in (flow.drop("lineno").join(firsts("function"), ["type", "file", "function"]), around.join(firsts("lineno"), ["type", "file", "lineno"]))]
     first = pairs[0].union(pairs[1]).groupBy("file", "flow").agg(F.min("hit").alias("hit"), F.max("confidence").alias("c"))
     best = first.groupBy(F.col("file").alias("_file"), "hit").agg(F.max("c").alias("c"))
     upgraded = (
-        findings.join(best, (findings["file"] == best["_file"]) & (findings["ord"] == best["hit"]), "left")
+        findings.join(best.hint("merge"), (findings["file"] == best["_file"]) & (findings["ord"] == best["hit"]), "left")
         .withColumn("confidence", F.when(F.col("hit").isNotNull(), F.greatest("confidence", "c")).otherwise(F.col("confidence")))
         .withColumn("detection_method", F.when(F.col("hit").isNotNull(), "taint-dataflow").otherwise(F.col("detection_method")))
         .drop("_file", "hit", "c")
     )
-    fresh = flows.join(first, (flows["file"] == first["file"]) & (flows["ord"] == first["flow"]), "left_anti")
+    fresh = flows.join(first.hint("merge"), (flows["file"] == first["file"]) & (flows["ord"] == first["flow"]), "left_anti")
     return upgraded, keep_first(fresh, ["type", "file", "function", "lineno"], [F.asc("ord")])
 
 

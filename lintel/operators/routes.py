@@ -92,4 +92,4 @@ def linked(routes: DataFrame, units: DataFrame) -> DataFrame:
     line, else the file's only unit."""
     ahead = as_of_forward(routes, units.select("file", F.col("lineno").alias("unit_line"), F.col("qualname").alias("next")), "file", "lineno", "unit_line", ["next"])
     sole = units.groupBy("file").agg(F.count("*").alias("n"), F.first("qualname").alias("only")).where("n = 1").select("file", "only")
-    return ahead.join(sole, "file", "left").withColumn("handler", F.coalesce("next", "only")).drop("next", "only")
+    return ahead.join(sole.hint("merge"), "file", "left").withColumn("handler", F.coalesce("next", "only")).drop("next", "only")

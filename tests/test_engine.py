@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lintel.operators import fixers
 from lintel.plans import engine
 from lintel.sources import files
 from lintel.streaming import audit
@@ -75,3 +76,19 @@ def test_audit_stream(spark, tmp_path):
     done = spark.read.parquet(str(tmp_path / "out"))
     batch = audit.hourly(events)
     assert done.exceptAll(batch.select(done.columns)).count() == 0 and done.count() > 0
+
+
+def test_scan_and_repair_broadcast_no_rows_of_the_scan(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name, write=engine.written):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(engine, "written", noted)
+    files = spark.createDataFrame([("a.py", "python", "def f(c):\n    os.system('ls ' + c)\n\ndef g():\n    f(request.args['c'])\n")], "rel_path string, language string, text string")
+    files, found = engine.parsed(files)
+    scanned = engine.scan_parsed(files, found)
+    assert [r["cwe"] for r in scanned.collect()] == ["CWE-78"]
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (scanned, fixers.patches(scanned, found))]
+    assert sum(p.count("SortMergeJoin") for p in plans) > 8 and not any("BroadcastHashJoin" in p for p in plans)
